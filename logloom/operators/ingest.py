@@ -21,7 +21,6 @@ _SCALARS = ["level", "message", "channel", "environment", "release", "framework"
             "trace_id", "traceId", "request_id", "requestId"]
 _JSON = ["context", "sdk", "user"]
 _ENTRY = ", ".join(f"{f} string" for f in _SCALARS + _JSON)
-_NODES = ", ".join(f"{f} variant" for f in _JSON)
 
 
 def _present(node: Column) -> Column:
@@ -102,32 +101,32 @@ def json_text(node: Column, raw: Column, limit: int = text.MAX_CONTEXT) -> Colum
 
 
 def normalize_entries(entries: DataFrame, project: Column, received_at: Column, row_key: Column) -> DataFrame:
-    """Shape usable entries into log rows. ``entries`` has ``text`` and ``pos``.
+    """Shape usable entries into log rows. ``entries`` has ``text``, ``node`` and ``pos``.
 
     The id hashes the row key and the position, so a retried task writes the same ids.
     """
     field = F.from_json("text", _ENTRY)
-    node = F.from_json("text", _NODES)
-    shaped = entries.where(F.col("usable") & (F.col("pos") < MAX_BATCH)).withColumn("f", field).withColumn("v", node)
-    f, v = F.col("f"), F.col("v")
-    own_user = _present(v["user"])
-    context_user = F.from_json(f["context"], "user string")["user"]
-    context_user_node = F.try_variant_get(v["context"], "$.user", "variant")
-    # a context that is only a string has no user, whatever its text says
-    holds = F.schema_of_variant(v["context"]).startswith("OBJECT<")
-    user = F.when(own_user, json_text(v["user"], f["user"])).when(holds, json_text(context_user_node, context_user))
+    shaped = entries.where(F.col("usable") & (F.col("pos") < MAX_BATCH)).withColumn("f", field)
+    f = F.col("f")
+
+    def node(path: str) -> Column:
+        return F.try_variant_get("node", f"$.{path}", "variant")
+
+    # the node path finds nothing below a context that is only a string, whatever its text says
+    user = F.when(_present(node("user")), json_text(node("user"), f["user"])).otherwise(
+        json_text(node("context.user"), F.get_json_object(f["context"], "$.user")))
     columns = {
         "id": F.substring(F.sha2(F.concat_ws("|", row_key, F.col("pos").cast("string")), 256), 1, 36),
         "project_id": project,
         "level": levels.normalize_level(f["level"]),
         "message": text.clip(f["message"], text.MAX_MESSAGE),
         "channel": text.col255(f["channel"]),
-        "context": json_text(v["context"], f["context"]),
+        "context": json_text(node("context"), f["context"]),
         "environment": text.col255(F.coalesce(f["environment"], F.lit("production"))),
         "release": text.col255(f["release"]),
         "framework": text.col255(f["framework"]),
         "host": text.col255(f["host"]),
-        "sdk": json_text(v["sdk"], f["sdk"], text.MAX_SDK),
+        "sdk": json_text(node("sdk"), f["sdk"], text.MAX_SDK),
         "user_context": user,
         "timestamp": F.coalesce(text.col255(f["timestamp"]), received_at),
         "trace_id": text.col64(F.coalesce(f["trace_id"], f["traceId"])),

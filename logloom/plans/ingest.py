@@ -61,9 +61,9 @@ _JSON_COL = """case when json_type(e, '$.{0}') in ('OBJECT','ARRAY') and cast(js
 def json_column(t):
     e = ingest.extract_entries(t.raw_requests())
     raw = F.from_json("text", "context string, user string")
-    node = F.from_json("text", "context variant, user variant")
-    return e.select("request_id", "pos", ingest.json_text(node["context"], raw["context"]).alias("context"),
-                    ingest.json_text(node["user"], raw["user"]).alias("usr"))
+    context, user = (F.try_variant_get("node", p, "variant") for p in ("$.context", "$.user"))
+    return e.select("request_id", "pos", ingest.json_text(context, raw["context"]).alias("context"),
+                    ingest.json_text(user, raw["user"]).alias("usr"))
 
 
 _LEVEL_SQL = "case when {0} in ('debug','info','notice','warning','error','critical','alert','emergency') then {0} else 'info' end"
