@@ -11,28 +11,43 @@ from .text import JS_SPACE, u16_left
 KEY_CHARS = 2000
 KEY_LENGTH = 40
 
-# Java's \b follows Unicode letters; the masks are defined on ASCII words.
-_B = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+# Word characters are ASCII in the masks, while Java's \b follows Unicode letters, so
+# boundaries are spelled out. Each look-behind sits after the first character, where it
+# is only tried at plausible starts; runs that cannot give back are possessive.
+_W = "[0-9A-Za-z_]"
+_END = f"(?!{_W})"
+
+
+def _start(first: str) -> str:
+    """One ``first`` character not preceded by a word character."""
+    return f"{first}(?<!{_W}{first})"
+
+
+_EDGE = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 
 # Masks in the order they apply, on lower-cased text.
 MASKS = [
-    (r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<uuid>"),
-    (r"\b\d{4}-\d{2}-\d{2}[t ]\d{2}:\d{2}:\d{2}(?:\.\d+)?z?\b", "<time>"),
-    (r"\b\d{4}-\d{2}-\d{2}\b", "<date>"),
-    (r"\b\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?\b", "<ip>"),
-    (r"\b[\w.%+-]+@[\w.-]+\.[a-z]{2,}\b", "<email>"),
-    (r"\b[0-9a-f]{12,}\b", "<hex>"),
-    (r"\b[a-z][a-z0-9]*_[a-z0-9]{4,}\b", "<id>"),
+    (_start("[0-9a-f]") + "[0-9a-f]{7}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}" + _END, "<uuid>"),
+    (_start("[0-9]") + r"\d{3}-\d{2}-\d{2}[t ]\d{2}:\d{2}:\d{2}(?:\.\d+)?z?" + _END, "<time>"),
+    (_start("[0-9]") + r"\d{3}-\d{2}-\d{2}" + _END, "<date>"),
+    (_start("[0-9]") + r"\d{0,2}(?:\.\d{1,3}){3}(?::\d+)?" + _END, "<ip>"),
+    (r"(?=[\w.%+-])" + _EDGE + r"[\w.%+-]++@[\w.-]+\.[a-z]{2,}" + _END, "<email>"),
+    (_start("[0-9a-f]") + "[0-9a-f]{11,}+" + _END, "<hex>"),
+    (_start("[a-z]") + "[a-z0-9]*+_[a-z0-9]{4,}+" + _END, "<id>"),
     (r"\d{2,}", "<n>"),
-    (r"\b\d\b", "<n>"),
+    (_start("[0-9]") + _END, "<n>"),
 ]
 
 
+# A lone plain space already is what a run of whitespace collapses to.
+_RUN = f" {JS_SPACE}++|(?! ){JS_SPACE}++"
+
+
 def normalize_message(message: Column) -> Column:
     text = F.lower(u16_left(F.coalesce(message, F.lit("")), KEY_CHARS))
     for pattern, label in MASKS:
-        text = F.regexp_replace(text, pattern.replace(r"\b", _B), label)
-    return F.trim(F.regexp_replace(text, JS_SPACE + "+", " "))
+        text = F.regexp_replace(text, pattern, label)
+    return F.trim(F.regexp_replace(text, _RUN, " "))
 
 
 def fingerprint_of(level: Column, channel: Column, message: Column) -> Column:

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import ingest, stream  # noqa: F401
+from . import access, fixwork, ingest, stream  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

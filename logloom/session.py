@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Objects with a repeated key keep the last value, as JSON clients expect.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Rank filters prune map-side up to the largest quota.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     # Merge session windows map-side before the shuffle: a hot trace ships few rows.
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
 }
