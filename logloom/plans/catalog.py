@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import access, fixwork, ingest, issues, quota, relational, statistics, stream  # noqa: F401
+from . import access, fixwork, ingest, issues, quota, relational, search, statistics, stream, streams  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
