@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import levels, text, times
 from ..operators import ingest
+from ..sources import io
 from ..sources.tables import AS_OF
+from ..streaming.jobs import shared_folder
 from .registry import query
 
 _ENTRIES = """
@@ -248,3 +250,14 @@ def absolute_url(t):
     raw = F.when(n % 3 == 0, F.replace(url, F.lit("http://"), F.lit(""))).when(n % 3 == 1, F.concat(url, F.lit("/"))).otherwise(url)
     return t.pages.select("page_id", text.absolute_url(raw, F.lit("http://localhost:3000")).alias("url"))
 
+
+
+@query("a03_append_sink", "select project_id, substring(timestamp, 1, 10) as event_date, 2 * count(*) as rows, count(distinct id) as ids from log_entries group by all")
+def append_sink(t):
+    # appended twice: the log never collapses repeats
+    folder = shared_folder(t.spark, "log")
+    for _ in range(2):
+        io.append_entries(t.log_entries(), folder)
+    back = io.read_entries(t.spark, folder)
+    return back.groupBy("project_id", F.date_format("event_date", "yyyy-MM-dd").alias("event_date")).agg(
+        F.count("*").alias("rows"), F.count_distinct("id").alias("ids"))

@@ -13,13 +13,14 @@ OUTPUT = "hit_id string, key string, ms bigint, opened bigint, ok boolean, retry
 
 
 class FixedWindow(StatefulProcessor):
-    """Two numbers per key: when its window opened and what was charged. Idle keys expire."""
+    """Two numbers per key: when its window opened and what was charged."""
 
-    def __init__(self, limit: int, window_ms: int, shared: bool):
-        self.limit, self.window_ms, self.shared = limit, window_ms, shared
+    def __init__(self, limit: int, window_ms: int, shared: bool, expire_idle: bool):
+        self.limit, self.window_ms, self.shared, self.expire_idle = limit, window_ms, shared, expire_idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getValueState("window", "opened bigint, used bigint", ttlDurationMs=2 * self.window_ms)
+        ttl = {"ttlDurationMs": 2 * self.window_ms} if self.expire_idle else {}
+        self.window = handle.getValueState("window", "opened bigint, used bigint", **ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # the key's share of one micro-batch, which the source's trigger limit bounds
@@ -49,15 +50,16 @@ class FixedWindow(StatefulProcessor):
         pass
 
 
-def rate_limit_stream(hits: DataFrame, limit: int, window_ms: int, mode: str = "memory") -> DataFrame:
+def rate_limit_stream(hits: DataFrame, limit: int, window_ms: int, mode: str = "memory", expire_idle: bool = False) -> DataFrame:
     """Verdict per hit of ``hits(hit_id string, key string, ms bigint, charge bigint)``.
 
     Hits of a key are taken in (ms, hit_id) order within a micro-batch. Bound micro-batches
     at the source (maxFilesPerTrigger, maxOffsetsPerTrigger); for a backlog use the batch
-    operator, which spreads a hot key.
+    operator, which spreads a hot key. ``expire_idle`` evicts windows past their reset by
+    wall-clock time; it suits continuous triggers only, since such a query never runs dry.
     """
     if mode not in ("memory", "shared"):
         raise ValueError(f"unknown mode {mode}")
     return hits.select("hit_id", "key", "ms", "charge").groupBy("key").transformWithStateInPandas(
-        statefulProcessor=FixedWindow(limit, window_ms, mode == "shared"), outputStructType=OUTPUT,
-        outputMode="append", timeMode="ProcessingTime")
+        statefulProcessor=FixedWindow(limit, window_ms, mode == "shared", expire_idle), outputStructType=OUTPUT,
+        outputMode="append", timeMode="ProcessingTime" if expire_idle else "None")
