@@ -172,12 +172,13 @@ def admission(requests: DataFrame, projects: DataFrame, ip_rejected: DataFrame |
         .withColumn("asked", F.nullif(F.coalesce(F.col("header_project"), from_body("$.project", "$.p")), F.lit("")))
         .withColumn("bytes", F.octet_length("body"))
     )
-    known = projects.select(F.col("id").alias("pid"), F.col("ingest_key").alias("pkey"), F.col("is_active").alias("active"))
-    keyed = known.where(F.col("pkey").isNotNull())
-    # two equi-joins instead of one OR condition
-    by_id = body.where(F.col("asked").isNotNull()).join(known, F.col("asked") == F.col("pid"), "left")
-    by_key = body.where(F.col("asked").isNull()).join(keyed, F.col("provided_key") == F.col("pkey"), "left")
-    found = by_id.unionByName(by_key)
+    # ids and keys in one lookup table, so that a single equi-join serves both kinds of request
+    project = [F.col("id").alias("pid"), F.col("ingest_key").alias("pkey"), F.col("is_active").alias("active")]
+    known = projects.select(F.lit("id").alias("by"), F.col("id").alias("value"), *project).unionByName(
+        projects.where("ingest_key is not null").select(F.lit("key").alias("by"), F.col("ingest_key").alias("value"), *project))
+    probe = body.withColumn("by", F.when(F.col("asked").isNotNull(), "id").otherwise("key")).withColumn(
+        "value", F.coalesce("asked", "provided_key"))
+    found = probe.join(known, ["by", "value"], "left")
     limited = F.lit(False)
     if ip_rejected is not None:
         found = found.join(ip_rejected.select("request_id", F.lit(True).alias("over_ip")), "request_id", "left")

@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 SLOW_MS = 100
 RETENTION_DAYS = 7
 
+# Quoted strings, and numbers that are not part of a name.
+_LITERAL = r"'[^']*+(?:''[^']*+)*+'|[0-9](?<![0-9A-Za-z_][0-9])[0-9]*+(?:\.[0-9]+)?(?![0-9A-Za-z_])"
+
 
 def normalize_query(query: Column) -> Column:
     """Literals, numbers and lists of them become placeholders; whitespace collapses."""
-    text = F.regexp_replace(query, r"'(?:[^']|'')*'", "?")
-    text = F.regexp_replace(text, r"(?<![0-9A-Za-z_])[0-9]+(?:\.[0-9]+)?(?![0-9A-Za-z_])", "?")
-    text = F.regexp_replace(text, r"\(\s*\?(?:\s*,\s*\?)+\s*\)", "(?)")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    text = F.regexp_replace(query, _LITERAL, "?")
+    text = F.regexp_replace(text, r"\(\s*+\?(?:\s*+,\s*+\?)+\s*+\)", "(?)")
+    return F.trim(F.regexp_replace(text, r"\s{2,}+|[\t-\r]", " "))
 
 
 def query_type(query: Column) -> Column:

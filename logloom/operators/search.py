@@ -80,11 +80,16 @@ def term_cost(words: Column, term: str, typos: int) -> Column:
 
 
 def fuzzy_search(df: DataFrame, text: str, query: str, exempt: set[str] | None = None) -> DataFrame:
-    """Rows matching every term within its typo allowance, with the summed ``typos``."""
+    """Rows matching every term within its typo allowance, with the summed ``typos``.
+
+    Exploding the one-element cost drops rows without a match and keeps the optimizer
+    from computing the cost again in a pushed-down filter.
+    """
     out = df.withColumn("_words", F.array_distinct(tokens(F.col(text))))
     costs = []
     for i, term in enumerate(query_terms(query)):
-        out = out.withColumn(f"_t{i}", term_cost(F.col("_words"), term, allowed_typos(term, exempt))).where(F.col(f"_t{i}").isNotNull())
+        cost = term_cost(F.col("_words"), term, allowed_typos(term, exempt))
+        out = out.select("*", F.explode(F.array_compact(F.array(cost))).alias(f"_t{i}"))
         costs.append(F.col(f"_t{i}"))
     return out.withColumn("typos", sum(costs[1:], costs[0])).drop("_words", *[f"_t{i}" for i in range(len(costs))])
 
@@ -108,36 +113,41 @@ def distinct_attribute(hits: DataFrame, attribute: str, order: list[Column]) ->
     return hits.withColumn("_rn", rank).where("_rn = 1").drop("_rn")
 
 
-def rank_columns(words: Column, terms: list[str]) -> dict[str, Column]:
-    """Ranking keys in rule order.
+def rank_columns(costs: list[Column], places: list[Column]) -> dict[str, Column]:
+    """Ranking keys in rule order, from the cost and first exact position of each term.
 
     words: terms found (more is better); typo: summed edits; proximity: distance of the
     first exact positions of neighbouring terms, at most 8 a pair; attribute: first exact
     position, at most 1000; exactness: terms found without edits (more is better).
     """
-    costs = [term_cost(words, t, allowed_typos(t)) for t in terms]
-    places = [F.array_position(words, t).cast("int") for t in terms]
     found = [c.isNotNull().cast("int") for c in costs]
+    edits = [F.coalesce(c, F.lit(0)) for c in costs]
     exact = [F.coalesce((c == 0).cast("int"), F.lit(0)) for c in costs]
     gaps = [F.when((a > 0) & (b > 0), F.least(F.lit(8), F.abs(a - b))).otherwise(8) for a, b in zip(places, places[1:])]
-    first = F.least(*[F.when(p > 0, p) for p in places]) if len(places) > 1 else F.when(places[0] > 0, places[0])
+    first = F.array_min(F.array(*[F.when(p > 0, p) for p in places]))
     return {
         "words": sum(found[1:], found[0]),
-        "typo": sum((F.coalesce(c, F.lit(0)) for c in costs[1:]), F.coalesce(costs[0], F.lit(0))),
+        "typo": sum(edits[1:], edits[0]),
         "proximity": sum(gaps[1:], gaps[0]) if gaps else F.lit(0),
-        "attribute": F.coalesce(F.least(first, F.lit(1000)), F.lit(1000)),
+        "attribute": F.least(F.coalesce(first, F.lit(1000)), F.lit(1000)),
         "exactness": sum(exact[1:], exact[0]),
     }
 
 
 def ranked(df: DataFrame, text: str, query: str, limit: int, sort: list[Column], tie: str) -> DataFrame:
-    """Rows with at least one term, by words, typo, proximity, attribute, sort, exactness."""
-    words = tokens(F.col(text))
-    keyed = df.withColumn("_words", words)
-    for name, value in rank_columns(F.col("_words"), query_terms(query)).items():
-        keyed = keyed.withColumn(name, value)
+    """Rows with at least one term, by words, typo, proximity, attribute, sort, exactness.
+
+    Rows without a term sort last, so they are dropped after the cut to ``limit``; before
+    it, the filter would be pushed down and score every row twice.
+    """
+    terms = query_terms(query)
+    words = df.withColumn("_words", tokens(F.col(text))).withColumn("_uniq", F.array_distinct("_words"))
+    measured = words.select(
+        *df.columns, *[term_cost(F.col("_uniq"), t, allowed_typos(t)).alias(f"_c{i}") for i, t in enumerate(terms)],
+        *[F.array_position("_words", t).cast("int").alias(f"_p{i}") for i, t in enumerate(terms)])
+    keys = rank_columns([F.col(f"_c{i}") for i in range(len(terms))], [F.col(f"_p{i}") for i in range(len(terms))])
     order = [F.desc("words"), F.asc("typo"), F.asc("proximity"), F.asc("attribute"), *sort, F.desc("exactness"), F.asc(tie)]
-    return keyed.where("words > 0").drop("_words").orderBy(*order).limit(limit)
+    return measured.select(*df.columns, *[v.alias(k) for k, v in keys.items()]).orderBy(*order).limit(limit).where("words > 0")
 
 
 def _occurrences(words: Column, term: str) -> Column:

@@ -16,6 +16,7 @@ _FP = fingerprint_sql("level", "channel", "message")
 
 @query("a46_normalize_message", f"select id, {shape_sql('message')} as shape from log_entries union all select 'd' || doc_id, {shape_sql('text')} from documents")
 def normalize_messages(t):
+    t = t.heavy
     log = t.log_entries().select("id", normalize_message(F.col("message")).alias("shape"))
     return log.unionByName(t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
                                               normalize_message(F.col("text")).alias("shape")))
@@ -23,6 +24,7 @@ def normalize_messages(t):
 
 @query("a47_fingerprint", f"select id, {_FP} as fingerprint from log_entries union all select 'd' || doc_id, {fingerprint_sql('lang', 'source', 'text')} from documents")
 def fingerprints(t):
+    t = t.heavy
     log = fixwork.with_fingerprint(t.log_entries()).select("id", "fingerprint")
     return log.unionByName(t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
                                               fingerprint_of(F.col("lang"), F.col("source"), F.col("text")).alias("fingerprint")))
@@ -35,6 +37,7 @@ _WEEK = _LATEST.format("2024-01-24 00:00:00")
 
 @query("a48_latest_runs", f"with {_WEEK} select project_id, fingerprint, id, log_entry_id, status, created_at from latest")
 def latest_runs(t):
+    t = t.heavy
     return fixwork.latest_runs(t.fix_runs(), AS_OF).drop("analysis")
 
 
@@ -43,6 +46,7 @@ def latest_runs(t):
   select project_id, fingerprint, arg_min(id, timestamp || id) as log_entry_id, min(timestamp) as first_seen, count(*) as repeats
   from s where not exists (select 1 from latest l where l.project_id = s.project_id and l.fingerprint = s.fingerprint) group by project_id, fingerprint""")
 def worklist(t):
+    t = t.heavy
     # finished runs and one hour of cache: most shapes need a new answer
     settled = t.fix_runs().where(F.col("status").isin("completed", "failed"))
     return fixwork.worklist(t.log_entries(), settled, AS_OF, cache_hours=1)
@@ -50,6 +54,7 @@ def worklist(t):
 
 @query("a50_reuse_flag", f"with {_WEEK} select e.id, l.id as run_id, l.status, l.log_entry_id <> e.id as reused from (select id, project_id, {_FP} as fingerprint from log_entries where level in {_FIX}) e join latest l using (project_id, fingerprint)")
 def reuse_flag(t):
+    t = t.heavy
     return fixwork.reuse(t.log_entries(), fixwork.latest_runs(t.fix_runs(), AS_OF))
 
 

@@ -28,7 +28,7 @@ def raw_ingest(t):
 
 @query("a02_extract_entries", f"with {_ENTRIES} select request_id, pos, {_USABLE} as usable, json_extract_string(e, '$.message') as message from entries")
 def extract_entries(t):
-    return ingest.extract_entries(t.raw_requests()).select(
+    return ingest.extract_entries(t.heavy.raw_requests()).select(
         "request_id", "pos", "usable", F.when(F.col("usable"), F.get_json_object("text", "$.message")).alias("message"))
 
 
@@ -61,7 +61,7 @@ _JSON_COL = """case when json_type(e, '$.{0}') in ('OBJECT','ARRAY') and cast(js
 
 @query("a07_json_column", f"with {_ENTRIES} select request_id, pos, {_JSON_COL.format('context', 98304)} as context, {_JSON_COL.format('user', 98304)} as usr from entries")
 def json_column(t):
-    e = ingest.extract_entries(t.raw_requests())
+    e = ingest.extract_entries(t.heavy.raw_requests())
     raw = F.from_json("text", "context string, user string")
     context, user = (F.try_variant_get("node", p, "variant") for p in ("$.context", "$.user"))
     return e.select("request_id", "pos", ingest.json_text(context, raw["context"]).alias("context"),
@@ -102,7 +102,7 @@ def _column_query(name, columns):
 
     @query(name, f"with {_ENTRIES} select id, {picked} from ({_ROWS_SQL})")
     def run(t):
-        return ingest.normalize_requests(t.raw_requests()).select("id", *columns)
+        return ingest.normalize_requests(t.heavy.raw_requests()).select("id", *columns)
 
     return run
 
@@ -114,7 +114,7 @@ defaults = _column_query("a11_defaults", ["environment", "timestamp"])
 
 @query("a12_normalize_entry", f"with {_ENTRIES} {_ROWS_SQL}")
 def normalize_entry(t):
-    return ingest.normalize_requests(t.raw_requests())
+    return ingest.normalize_requests(t.heavy.raw_requests())
 
 
 _ACCOUNT_SQL = f"""with {_ENTRIES}, per as (
@@ -126,7 +126,7 @@ select r.request_id, coalesce(n, 0) as n, coalesce(stored, 0) as stored, coalesc
 
 @query("a13_normalize_batch_accounting", _ACCOUNT_SQL)
 def batch_accounting(t):
-    return ingest.accounting(t.raw_requests()).select("request_id", "n", "stored", "dropped", "skipped")
+    return ingest.accounting(t.heavy.raw_requests()).select("request_id", "n", "stored", "dropped", "skipped")
 
 
 @query("a57_ingest_totals", f"""select header_project, count(*) as requests, cast(sum(n) as bigint) as n, cast(sum(stored) as bigint) as stored,
@@ -134,12 +134,12 @@ def batch_accounting(t):
   from ({_ACCOUNT_SQL}) a join raw_requests r using (request_id) group by header_project""")
 def ingest_totals(t):
     sums = [F.sum(c).alias(c) for c in ("n", "stored", "dropped", "skipped")]
-    return ingest.accounting(t.raw_requests()).groupBy("header_project").agg(F.count("*").alias("requests"), *sums)
+    return ingest.accounting(t.heavy.raw_requests()).groupBy("header_project").agg(F.count("*").alias("requests"), *sums)
 
 
 @query("a14_row_id", f"with {_ENTRIES} select count(*) as rows, count(distinct id) as ids, min(id) as first_id, max(id) as last_id from ({_ROWS_SQL})")
 def row_id(t):
-    return ingest.normalize_requests(t.raw_requests()).agg(
+    return ingest.normalize_requests(t.heavy.raw_requests()).agg(
         F.count("*").alias("rows"), F.count_distinct("id").alias("ids"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 

@@ -19,24 +19,24 @@ _ROLLUP = f"""{_SHAPED}, issues as (select project_id, fingerprint, count(*) as
 
 @query("c01_issue_rollup", f"with {_ROLLUP} select project_id, fingerprint, events, first_seen, last_seen, title, level, channel, environment from issues")
 def issue_rollup(t):
-    return issues.issue_rollup(t.log_entries()).drop("users", "first_release")
+    return issues.issue_rollup(t.heavy.log_entries()).drop("users", "first_release")
 
 
 @query("c02_affected_users", f"with {_ROLLUP} select project_id, fingerprint, users from issues")
 def affected_users(t):
-    return issues.issue_rollup(t.log_entries()).select("project_id", "fingerprint", "users")
+    return issues.issue_rollup(t.heavy.log_entries()).select("project_id", "fingerprint", "users")
 
 
 @query("c03_top_issues", f"with {_ROLLUP} select project_id, fingerprint, events, title from issues order by events desc, project_id, fingerprint limit 10")
 def top_issues(t):
-    return issues.top_issues(issues.issue_rollup(t.log_entries())).select("project_id", "fingerprint", "events", "title")
+    return issues.top_issues(issues.issue_rollup(t.heavy.log_entries())).select("project_id", "fingerprint", "events", "title")
 
 
 @query("c04_new_and_regressed", f"""with {_SHAPED}, g as (select *, cast(substring(timestamp, 1, 23) as timestamp) as ts from shaped),
   l as (select *, epoch_us(ts) // 1000 - epoch_us(lag(ts) over (partition by project_id, fingerprint order by ts, id)) // 1000 as quiet_ms from g)
   select project_id, fingerprint, case when quiet_ms is null then 'new' else 'regression' end as moment, id as log_entry_id, timestamp as at, quiet_ms from l where quiet_ms is null or quiet_ms >= 3 * 86400000""")
 def new_and_regressed(t):
-    return issues.issue_moments(t.log_entries(), gap_days=3)
+    return issues.issue_moments(t.heavy.log_entries(), gap_days=3)
 
 
 @query("c04_regression_after_resolved", f"""with {_SHAPED}, r as (select project_id, fingerprint, replace(min(created_at), ' ', 'T') || '.999Z' as resolved_at from fix_runs where status = 'completed' group by project_id, fingerprint)
@@ -44,12 +44,12 @@ def new_and_regressed(t):
 def regression_after_resolved(t):
     resolved = t.fix_runs().where("status = 'completed'").groupBy("project_id", "fingerprint").agg(
         F.concat(F.replace(F.min("created_at"), F.lit(" "), F.lit("T")), F.lit(".999Z")).alias("resolved_at"))
-    return issues.regressions_after(t.log_entries(), resolved)
+    return issues.regressions_after(t.heavy.log_entries(), resolved)
 
 
 @query("c05_first_seen_release", f"with {_ROLLUP} select project_id, fingerprint, first_release from issues")
 def first_seen_release(t):
-    return issues.first_releases(t.log_entries())
+    return issues.first_releases(t.heavy.log_entries())
 
 
 @query("c06_spikes", """with c as (select project_id, epoch_us(cast(substring(timestamp, 1, 23) as timestamp)) // 3600000000 as hour, count(*) as events from log_entries group by all),
@@ -64,7 +64,7 @@ def spikes(t):
 
 @query("c07_environment_split", f"with {_SHAPED} select project_id, fingerprint, count(*) filter (where environment = 'production') as production, count(*) filter (where environment = 'staging') as staging from shaped group by project_id, fingerprint")
 def environment_split(t):
-    return issues.environment_split(t.log_entries(), ["production", "staging"])
+    return issues.environment_split(t.heavy.log_entries(), ["production", "staging"])
 
 
 @query("c08_retention", "select substring(timestamp, 1, 10) as day, count(*) as kept from log_entries where timestamp >= '2024-01-16T00:00:00.000Z' group by day")
@@ -103,7 +103,7 @@ def _fact_sql(item, sep):
 
 def _alerts(t):
     p = t.projects().select(F.col("id").alias("project_id"), F.col("name").alias("project_name"))
-    rolled = issues.issue_rollup(t.log_entries()).join(p, "project_id")
+    rolled = issues.issue_rollup(t.heavy.log_entries()).join(p, "project_id")
     return rolled.select("project_id", "project_name", F.col("fingerprint").alias("issue_id"), "title", F.col("channel").alias("culprit"), "level",
                          F.when(F.col("environment") != "staging", F.col("environment")).alias("environment"), F.col("events").alias("count"),
                          F.when(F.col("events") > 50, "regression").otherwise("new").alias("kind"))
@@ -157,7 +157,7 @@ _PLACES = f"""places as (select p.id as project_id, p.name as project_name, 'ema
 
 @query("a65_outbox", f"with {_ROLLUP}, {_PLACES} select i.project_id, i.fingerprint as issue_id, via, target, project_name from issues i join places using (project_id)")
 def outbox(t):
-    rolled = fixwork.with_fingerprint(t.log_entries()).select("project_id", F.col("fingerprint").alias("issue_id")).distinct()
+    rolled = fixwork.with_fingerprint(t.heavy.log_entries()).select("project_id", F.col("fingerprint").alias("issue_id")).distinct()
     places = alerts.destinations(t.projects(), t.users(), t.alert_channels(), t.email_suppressions())
     return alerts.outbox(rolled, places)
 

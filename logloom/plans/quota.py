@@ -78,7 +78,7 @@ def aligned_window(t):
 def ingest_budgets(t):
     ip = text.client_ip(F.col("forwarded_for"), F.col("real_ip"), F.col("direct_ip"))
     # parsed once; both budgets read it several times
-    req = cut(ingest.accounting(t.raw_requests()).where("n > 0").select(
+    req = cut(ingest.accounting(t.heavy.raw_requests()).where("n > 0").select(
         "request_id", "header_project", "n", ip.alias("ip"), F.unix_millis(times.event_ts(F.col("received_at"))).alias("ms")))
     by_ip = req.select(F.col("request_id").alias("hit_id"), F.concat(F.lit("ip:"), "ip").alias("key"), "ms", F.lit(1).cast("bigint").alias("charge"))
     by_project = req.select(F.col("request_id").alias("hit_id"), F.concat(F.lit("proj:"), F.coalesce("header_project", F.lit("by-key"))).alias("key"), "ms",
@@ -130,7 +130,7 @@ _ADMISSION = f"""acc as ({_ACCOUNT_SQL}),
 @query("a30_admission", f"""with {_ADMISSION} select request_id, status, case status when 400 then 'no log entries' when 404 then 'unknown project' when 403 then 'project inactive'
    when 401 then 'invalid ingest key' end as error, case when status = 201 then pid end as project_id, case when status = 201 then least(n, 500) end as charge from v""")
 def admission(t):
-    return ingest.admission(t.raw_requests(), t.projects()).select("request_id", "status", "error", "project_id", "charge")
+    return ingest.admission(t.heavy.raw_requests(), t.projects()).select("request_id", "status", "error", "project_id", "charge")
 
 
 @query("a30_admission_with_quota", f"""with recursive {_ADMISSION}, hits as (select request_id as hit_id, pid as key, epoch_ms(cast(received_at[1:23] as timestamp)) as ms, least(n, 500) as charge from v where status = 201),
@@ -138,7 +138,7 @@ def admission(t):
   select request_id, cast(s2 as integer) as status, case when s2 = 201 then stored end as stored, case when s2 = 201 then skipped end as skipped from final""")
 def admission_with_quota(t):
     # parsed once; quota and settlement both read the outcome
-    verdicts = cut(ingest.admission(t.raw_requests(), t.projects()))
+    verdicts = cut(ingest.admission(t.heavy.raw_requests(), t.projects()))
     hits = verdicts.where("status = 201").select(F.col("request_id").alias("hit_id"), F.col("project_id").alias("key"),
                                                  F.unix_millis(times.event_ts(F.col("received_at"))).alias("ms"), F.col("charge").cast("bigint").alias("charge"))
     refused = quota.rate_limit(hits, 200, 24 * HOUR).where(~F.col("ok")).select(F.col("hit_id").alias("request_id"))

@@ -14,7 +14,7 @@ _DOCS = f"d as (select *, {_TOK.format('text')} as w from documents)"
 
 @query("b30_term_search", f"with {_DOCS}, h as (select doc_id, lang from d where list_has_all(w, ['the', 'that'])) select *, (select count(*) from h) as total_hits from (select * from h order by doc_id limit 20 offset 10)")
 def term_search(t):
-    hits = search.term_search(t.documents, "text", "That the")
+    hits = search.term_search(t.heavy.documents, "text", "That the")
     total = search.total_hits(hits).scalar()
     return hits.select("doc_id", "lang").orderBy("doc_id").offset(10).limit(20).withColumn("total_hits", total)
 
@@ -32,7 +32,7 @@ def multi_key_sort(t):
 
 @query("b33_facets", f"with {_DOCS} select 'lang' as facet, lang as value, count(*) as n from d where list_contains(w, 'the') group by lang union all select 'source', source, count(*) from d where list_contains(w, 'the') group by source")
 def facets(t):
-    return search.facets(search.term_search(t.documents, "text", "the"), ["lang", "source"])
+    return search.facets(search.term_search(t.heavy.documents, "text", "the"), ["lang", "source"])
 
 
 @query("b34_highlight", r"""select doc_id, regexp_replace(text, '(?i)(^|[^\p{L}\p{N}])(that|the)([^\p{L}\p{N}]|$)', '\1<em>\2</em>\3', 'g') as marked from
@@ -40,13 +40,13 @@ def facets(t):
 def highlight(t):
     # gaps are doubled so that neighbouring matches do not share one, as the SQL needs
     doubled = F.regexp_replace("text", r"([^\p{L}\p{N}])", "$1$1")
-    return t.documents.select("doc_id", search.highlight(doubled, ["the", "that"]).alias("marked"))
+    return t.heavy.documents.select("doc_id", search.highlight(doubled, ["the", "that"]).alias("marked"))
 
 
 @query("b35_crop", """select doc_id, case when s > 1 then '…' else '' end || substring(text, s, 60) || case when s + 60 <= length(text) then '…' else '' end as cropped
   from (select doc_id, text, greatest(1, greatest(strpos(lower(text), 'that'), 1) - 30) as s from documents)""")
 def crop(t):
-    return t.documents.select("doc_id", search.crop(col("text"), "that", 60).alias("cropped"))
+    return t.heavy.documents.select("doc_id", search.crop(col("text"), "that", 60).alias("cropped"))
 
 
 def _cost_sql(words, term, typos):
@@ -55,17 +55,17 @@ def _cost_sql(words, term, typos):
 
 @query("b36_typo_tolerance", f"with {_DOCS} select doc_id, cast(a + b as integer) as typos from (select doc_id, {_cost_sql('w', 'thesened', 1)} as a, {_cost_sql('w', 'that', 0)} as b from d) where a is not null and b is not null")
 def typo_tolerance(t):
-    return search.fuzzy_search(t.documents, "text", "thesened that").select("doc_id", "typos")
+    return search.fuzzy_search(t.heavy.documents, "text", "thesened that").select("doc_id", "typos")
 
 
 @query("b37_stop_words_synonyms", f"with {_DOCS} select doc_id from d where list_has_any(w, ['elle', 'der', 'quevi']) and list_has_any(w, ['le', 'that'])")
 def stop_words_synonyms(t):
-    return search.synonym_search(t.documents, "text", "the elle that", {"elle": ["der", "quevi"], "that": ["le"]}, {"the"}).select("doc_id")
+    return search.synonym_search(t.heavy.documents, "text", "the elle that", {"elle": ["der", "quevi"], "that": ["le"]}, {"the"}).select("doc_id")
 
 
 @query("b38_distinct_attribute", f"with {_DOCS} select source, doc_id, n_chars from (select *, row_number() over (partition by source order by n_chars desc, doc_id) as rn from d where list_contains(w, 'the')) where rn = 1")
 def distinct_attribute(t):
-    hits = search.term_search(t.documents, "text", "the").select("source", "doc_id", "n_chars")
+    hits = search.term_search(t.heavy.documents, "text", "the").select("source", "doc_id", "n_chars")
     return search.distinct_attribute(hits, "source", [F.desc("n_chars"), col("doc_id")])
 
 
@@ -76,21 +76,21 @@ _RANK = f"""{_DOCS}, c as (select doc_id, n_chars, {_cost_sql('w', 'heention', 1
 
 @query("b39_ranking", f"with {_RANK} select doc_id, words, typo, proximity, attribute, exactness from k where words > 0 order by words desc, typo, proximity, attribute, n_chars desc, exactness desc, doc_id limit 100")
 def ranking(t):
-    return search.ranked(t.documents, "text", "heention that", 100, [F.desc("n_chars")], "doc_id").select("doc_id", "words", "typo", "proximity", "attribute", "exactness")
+    return search.ranked(t.heavy.documents.select("doc_id", "n_chars", "text"), "text", "heention that", 100, [F.desc("n_chars")], "doc_id").select("doc_id", "words", "typo", "proximity", "attribute", "exactness")
 
 
 @query("b39_tf_idf", f"""with {_DOCS}, c as (select doc_id, len(list_filter(w, lambda x: x = 'that')) as a, len(list_filter(w, lambda x: x = 'elle')) as b from d),
   n as (select count(*) as n, count(*) filter (where a > 0) as na, count(*) filter (where b > 0) as nb from c)
   select doc_id, round(case when a > 0 then a * ln(1 + n.n / na) else 0 end + case when b > 0 then b * ln(1 + n.n / nb) else 0 end, 6) as score from c, n where a > 0 or b > 0""")
 def tf_idf(t):
-    return search.tf_idf(t.documents, "doc_id", "text", "that elle").select("doc_id", F.round("score", 6).alias("score"))
+    return search.tf_idf(t.heavy.documents, "doc_id", "text", "that elle").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("b40_multi_index", f"""select 'documents' as index, cast(doc_id as varchar) as key from documents where list_contains({_TOK.format('text')}, 'that') union all select 'pages', cast(page_id as varchar) from pages where list_contains({_TOK.format('html')}, 'that')
   union all select 'conversations', conv_id || '/' || turn from conversations where list_contains({_TOK.format('text')}, 'that')""")
 def multi_index(t):
-    talks = t.conversations.withColumn("key", F.concat_ws("/", col("conv_id").cast("string"), col("turn").cast("string")))
-    return search.multi_search({"documents": (t.documents, "doc_id", "text"), "pages": (t.pages, "page_id", "html"), "conversations": (talks, "key", "text")}, "that")
+    talks = t.heavy.conversations.withColumn("key", F.concat_ws("/", col("conv_id").cast("string"), col("turn").cast("string")))
+    return search.multi_search({"documents": (t.heavy.documents, "doc_id", "text"), "pages": (t.heavy.pages, "page_id", "html"), "conversations": (talks, "key", "text")}, "that")
 
 
 @query("b41_geo_radius", """select c_custkey, round(m, 3) as distance_m from (select c_custkey, 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(lat - 48.1) / 2), 2) + cos(radians(lat)) * cos(radians(48.1)) * pow(sin(radians(lon - 11.5) / 2), 2)))) as m

@@ -175,7 +175,7 @@ _QSTATS = "count(*) as total, count(*) filter (where status = 'slow') as slow, c
 
 
 def _logs(t):
-    return querylog.enrich(t.query_logs())
+    return querylog.enrich(t.heavy.query_logs())
 
 
 @query("b50_normalize_query", f"with {_QL} select id, normalized_query, type from ql")

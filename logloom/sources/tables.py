@@ -15,15 +15,31 @@ from ..session import configure
 AS_OF = "2024-01-31T00:00:00.000Z"
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Use all cores on a table stored in fewer splits than there are cores; else unchanged.
+
+    For scans that feed expensive expressions. Filters and column pruning pass through.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 class Tables:
-    def __init__(self, spark: SparkSession, directory: str):
+    def __init__(self, spark: SparkSession, directory: str, spread_scans: bool = False):
         self.spark = configure(spark)
         self.directory = directory.rstrip("/")
+        self.spread_scans = spread_scans
+
+    @property
+    def heavy(self) -> Tables:
+        """The same views for CPU-bound queries."""
+        return Tables(self.spark, self.directory, spread_scans=True)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        return spread(table) if self.spread_scans else table
 
     # -- the log ---------------------------------------------------------------
 
