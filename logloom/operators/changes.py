@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_email
+from .skew import salted_join
 
 
 def upsert(target: DataFrame, changes: DataFrame, key: str, version: list[str], keep: tuple[str, ...] = ("created_at",)) -> DataFrame:
@@ -125,7 +126,7 @@ def merge_social(users: DataFrame, logins: DataFrame, order: list[str]) -> tuple
         F.coalesce("new_avatar", F.when(is_new, F.col("first.avatar")), "user_avatar").alias("avatar"))
     blank = logins.where(F.col("address") == "").select("social_id", F.lit("no email").alias("reason"))
     unverified = (
-        valid.where(~ok).join(joined.select("address", "first_seq", "user_id"), "address")
+        salted_join(valid.where(~ok), joined.select("address", "first_seq", "user_id"), ["address"], "inner", row_key=F.xxhash64("seq"))
         .where(F.col("user_id").isNotNull() | (F.col("seq") > F.col("first_seq")))
         .select("social_id", F.lit("unverified email").alias("reason")))
     return accounts, blank.unionByName(unverified)
