@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship_by_value
 from .lineage import cut
 from .skew import HOT_ROWS, salted_join
 
@@ -235,3 +236,6 @@ def open_windows(windows: DataFrame, window_ms: int, now_ms: int) -> DataFrame:
     live = windows.groupBy("key", "opened").agg(F.sum("charge").alias("count"))
     return live.where((F.col("opened") <= now_ms) & (F.col("opened") + window_ms > now_ms)).select(
         "key", "opened", "count", (F.col("opened") + window_ms).alias("reset_at"))
+
+
+ship_by_value(__name__)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..shipping import ship_by_value
+
 OUTPUT = "hit_id string, key string, ms bigint, opened bigint, ok boolean, retry_after int"
 
 
@@ -63,3 +65,6 @@ def rate_limit_stream(hits: DataFrame, limit: int, window_ms: int, mode: str = "
     return hits.select("hit_id", "key", "ms", "charge").groupBy("key").transformWithStateInPandas(
         statefulProcessor=FixedWindow(limit, window_ms, mode == "shared", expire_idle), outputStructType=OUTPUT,
         outputMode="append", timeMode="ProcessingTime" if expire_idle else "None")
+
+
+ship_by_value(__name__)
