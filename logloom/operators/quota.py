@@ -33,7 +33,8 @@ BUDGETS = {
     "subscribe": (5, 60_000),
 }
 
-SEGMENT_MS = 600_000
+# Bounds a segment at 1.8 million milliseconds, one row each.
+SEGMENT_MS = 1_800_000
 
 
 def _groups(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[list[np.ndarray]]:
@@ -68,7 +69,17 @@ def _entries(window_ms: int, segment_ms: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, segs, untils, exits = [], [], [], []
         for group_keys, group_segs, hits in _groups(batches, ["key", "seg", "ms"]):
+            if len(keys) >= 50_000:
+                yield pd.DataFrame({"key": keys, "seg": segs, "until": untils, "exit": exits})
+                keys, segs, untils, exits = [], [], [], []
             seg = int(group_segs[0])
+            if len(hits) == 1:
+                # sparse keys: most segments hold a single hit
+                keys.append(group_keys[0])
+                segs.append(seg)
+                untils.append(int(hits[0]))
+                exits.append(int(hits[0]) + window_ms)
+                continue
             # an open window reaches less than window_ms into the segment
             n = min(len(hits), int(np.searchsorted(hits, seg * segment_ms + window_ms, "left")) + 1)
             out = hits[:n] + window_ms
@@ -81,9 +92,6 @@ def _entries(window_ms: int, segment_ms: int):
             segs.extend([seg] * len(last))
             untils.extend(hits[last].tolist())
             exits.extend(out[last].tolist())
-            if len(keys) >= 50_000:
-                yield pd.DataFrame({"key": keys, "seg": segs, "until": untils, "exit": exits})
-                keys, segs, untils, exits = [], [], [], []
         if keys:
             yield pd.DataFrame({"key": keys, "seg": segs, "until": untils, "exit": exits})
 
