@@ -64,7 +64,7 @@ class Hasher:
         return out
 
     def ranges(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+        return mixed((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64) * STEP)
 
 
 @dataclass
