@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import bpe, repetition, sharding  # noqa: F401
+from . import bpe, langid, repetition, secret_scan, sharding  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
