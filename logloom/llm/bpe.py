@@ -41,7 +41,7 @@ from .flat import STEP, Hasher, mixed, powers, sums_between
 from .registry import query, table
 
 KNOWN_WORDS = 2_000_000
-TEXT_PIECE = 2_000_000
+TEXT_PIECE = 1_000_000
 # Words of more bytes are merged one by one with a heap.
 LONG_WORD = 48
 END = "</w>"

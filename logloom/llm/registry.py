@@ -24,6 +24,18 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+# Python workers get rows in batches of at most this size, as texts may be long.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Bound the batches that Python workers get in this session."""
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """A whole given table."""
+    bound_batches(spark)
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
