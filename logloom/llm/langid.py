@@ -1,21 +1,24 @@
 """Language identification by compression.
 
 For each language a raw-content zstandard dictionary is cut from labelled texts. A text belongs to the language whose
-dictionary makes it smallest; it is rejected when the runner-up is nearly as small. Texts are compressed whole, in chunks, so that
-the dictionary matters to the end of a long text.
+dictionary makes it smallest; it is rejected when the runner-up is nearly as small. What is compressed are the distinct words of the
+whole text (letters only, lower case, in the order they come), in chunks, so that the dictionary matters to the end of a long text
+and repetition does not hide it.
 
 Learning reads a bounded sample: at most ``SAMPLE_TEXTS`` texts a language, of ``SAMPLE_BYTES`` bytes each, cut to a dictionary
 of ``DICTIONARY_BYTES``. Texts that fit whole are preferred. The sample goes by a hash of the text and grows no further with
 the data; more than ``MOST_LANGUAGES`` labels are an error. Prediction is local to a row: no shuffle.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is every text if nothing was labelled. Equal
-sizes go to the first language by name, with score 0. The score is 1 - least size / second size; with one language it is 1.
+sizes go to the language with more labelled texts, then the first by name, with score 0. The score is 1 - least size / second size; with one language it is 1.
 Labels, ids and other columns are never read in predicting; repeated rows are predicted alike.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import zstandard
@@ -30,14 +33,25 @@ SAMPLE_BYTES = 8_192
 DICTIONARY_BYTES = 131_072
 MOST_LANGUAGES = 1_000
 CHUNK = 8_192
-LEVEL = 1
+# Short matches are found: syllables tell languages apart.
+SEARCH = {"window_log": 18, "chain_log": 17, "hash_log": 17, "search_log": 4, "min_match": 3, "target_length": 0, "strategy": zstandard.STRATEGY_LAZY}
 # Texts whose best two languages differ by less than this share of their size are rejected.
-LEAST_MARGIN = 0.005
+LEAST_MARGIN = 0.01
 UNKNOWN = "und"
 
 
-def learn(docs: DataFrame, text_column: str = "text", label_column: str = "lang") -> dict[str, bytes]:
-    """A dictionary for each label of ``docs``."""
+class Learned(NamedTuple):
+    texts: int
+    dictionary: bytes
+
+
+def words(text: str) -> bytes:
+    """The distinct words of a text."""
+    return " ".join(dict.fromkeys(re.sub(r"[\W\d_]+", " ", text.lower()).split())).encode()
+
+
+def learn(docs: DataFrame, text_column: str = "text", label_column: str = "lang") -> dict[str, Learned]:
+    """For each label of ``docs`` the number of its texts and a dictionary."""
     text, label = F.col(text_column), F.col(label_column)
     rows = docs.filter(label.isNotNull() & text.isNotNull()).select(label.alias("label"), text.alias("text"))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
@@ -54,29 +68,29 @@ def learn(docs: DataFrame, text_column: str = "text", label_column: str = "lang"
     cut = sample.select("label", "at", F.substring(F.encode("text", "UTF-8"), 1, SAMPLE_BYTES).alias("bytes"))
     found: dict[str, list[bytes]] = {}
     for r in sorted(cut.collect(), key=lambda r: (r["label"], r["at"])):
-        found.setdefault(r["label"], []).append(bytes(r["bytes"]))
-    # The end of a dictionary is the cheapest to refer to; all parts are alike here.
-    return {k: b"\n".join(v)[:DICTIONARY_BYTES] for k, v in sorted(found.items()) if any(v)}
+        found.setdefault(r["label"], []).append(words(bytes(r["bytes"]).decode("utf-8", "ignore")))
+    return {k: Learned(counts[k], b" ".join(v)[:DICTIONARY_BYTES]) for k, v in found.items() if any(v)}
 
 
-def language(text: str | Column, dictionaries: dict[str, bytes], least_margin: float = LEAST_MARGIN) -> Column:
+def language(text: str | Column, learned: dict[str, Learned], least_margin: float = LEAST_MARGIN) -> Column:
     """Struct of ``lang``, ``score`` and ``rejected`` of a whole text."""
 
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names, makers = sorted(dictionaries), []
+        names, makers = sorted(learned, key=lambda k: (-learned[k].texts, k)), []
+        search = zstandard.ZstdCompressionParameters(write_content_size=False, write_dict_id=False, **SEARCH)
         for name in names:
-            d = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            makers.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_dict_id=False))
+            d = zstandard.ZstdCompressionDict(learned[name].dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=search)
+            makers.append(zstandard.ZstdCompressor(dict_data=d, compression_params=search))
 
         def one(t: str | None) -> tuple[str, float, bool]:
             if not names or t is None or not any(map(str.isalpha, t)):
                 return UNKNOWN, 0.0, True
-            raw = memoryview(t.encode())
+            raw = memoryview(words(t))
             parts = [raw[i: i + CHUNK] for i in range(0, len(raw), CHUNK)]
-            sizes = sorted((sum(len(m.compress(p)) for p in parts), name) for m, name in zip(makers, names, strict=True))
+            sizes = sorted((sum(len(m.compress(p)) for p in parts), i) for i, m in enumerate(makers))
             score = 1.0 if len(sizes) == 1 else 1.0 - sizes[0][0] / sizes[1][0]
-            return sizes[0][1], score, score < least_margin
+            return names[sizes[0][1]], score, score < least_margin
 
         for batch in batches:
             rows = [one(x.as_py()) for x in batch]
