@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, repetition, secret_scan, sharding  # noqa: F401
+from . import bpe, decontaminate, jaccard, langid, repetition, secret_scan, sharding  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
