@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import attention_lm, bpe, decontaminate, jaccard, langid, repetition, secret_scan, sharding  # noqa: F401
+from . import attention_lm, bpe, decontaminate, jaccard, langid, licenses, repetition, secret_scan, sharding  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
