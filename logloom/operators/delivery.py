@@ -6,34 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .commerce import rates
+from .running import sums_before
 
 # What one request may carry.
 MAX_ENTRIES = 500
 MAX_BYTES = 512 * 1024
-BLOCK = 10_000
 
 
-def pack_batches(entries: DataFrame, sender: str, offset: str, body: Column, max_entries: int = 250,
-                 max_bytes: int = 256 * 1024, block: int = BLOCK) -> DataFrame:
+def pack_batches(entries: DataFrame, sender: str, offset: str, body: Column, max_entries: int = 250, max_bytes: int = 192 * 1024) -> DataFrame:
     """Assign entries to batches that stay well under the request limits.
 
-    Packing runs over blocks of consecutive source offsets, so a sender with most of the
-    entries is never ordered as a whole. An entry is put where its first byte falls; with
-    entries of at most ``max_bytes`` a batch holds at most twice that. Larger ones get
-    ``batch`` NULL and go out alone.
+    An entry weighs its bytes and a comma and is put where its first byte falls in its sender's sequence; with entries of
+    at most ``max_bytes`` a batch frames to less than twice that and a wrapper, by default under 400 KiB. Larger entries get
+    ``batch`` NULL and go out alone. The packing depends on the entries and the limits alone.
     """
-    size = F.octet_length(body)
-    sized = entries.withColumn("bytes", size).withColumn("block", F.floor(F.col(offset) / block).cast("bigint"))
-    fits = F.col("bytes") <= max_bytes
-    order = Window.partitionBy(sender, "block", "fits").orderBy(offset)
-    upto = order.rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        sized.withColumn("fits", fits)
-        .withColumn("chunk", F.floor(F.coalesce(F.sum("bytes").over(upto), F.lit(0)) / max_bytes).cast("bigint")))
-    within = Window.partitionBy(sender, "block", "fits", "chunk").orderBy(offset)
+    sized = entries.withColumn("bytes", F.octet_length(body)).withColumn("fits", F.coalesce(F.octet_length(body) <= max_bytes, F.lit(True)))
+    weight = (F.coalesce("bytes", F.lit(0)) + 1).cast("bigint")
+    placed = sums_before(sized, [sender, "fits"], [offset], {"before": weight}).withColumn("chunk", F.floor(F.col("before") / max_bytes).cast("bigint"))
+    # A chunk holds at most ``max_bytes`` entries, as each weighs a byte or more.
+    within = Window.partitionBy(sender, "fits", "chunk").orderBy(offset)
     placed = placed.withColumn("slice", F.floor((F.row_number().over(within) - 1) / max_entries).cast("bigint"))
-    name = F.concat_ws("-", F.col(sender).cast("string"), F.col("block").cast("string"), F.col("chunk").cast("string"), F.col("slice").cast("string"))
-    return placed.withColumn("batch", F.when(F.col("fits"), name)).drop("block", "chunk", "slice", "fits")
+    name = F.concat_ws("-", F.col(sender).cast("string"), F.col("chunk").cast("string"), F.col("slice").cast("string"))
+    return placed.withColumn("batch", F.when(F.col("fits"), name)).drop("before", "chunk", "slice", "fits")
 
 
 def dead_letters(rows: DataFrame, as_of: Column, max_attempts: int = 3, days: int = 7) -> DataFrame:

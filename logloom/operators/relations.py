@@ -8,10 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import sums_before
 from .skew import salted_join
 
-PART_ROWS = 10_000
-
 
 def paginate(df: DataFrame, order: list[Column], page: int, per_page: int) -> tuple[DataFrame, DataFrame]:
     """(rows of the page, total/per_page/current_page/last_page)."""
@@ -31,27 +30,14 @@ def where_missing(parents: DataFrame, children: DataFrame, on: list[str]) -> Dat
     return parents.join(children.select(*on), on, "left_anti")
 
 
-def nested(children: DataFrame, key: str, order: list[str], name: str = "items", part_rows: int = PART_ROWS) -> DataFrame:
-    """Children as arrays of structs per key, at most about ``part_rows`` in each.
+def with_related(parents: DataFrame, children: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One row per parent and child: the parent's columns, ``position`` of the child from 0, and the child's other columns.
 
-    A key with more children gets several rows, numbered by ``part``, so no group is
-    collected without a bound. Ordinary keys have the single part 0.
+    A parent without children has one row with NULLs. The shape is the same for any number of children: nothing is
+    collected per parent, and positions are counted over many tasks.
     """
-    counts = children.groupBy(key).agg(F.ceil(F.count("*") / part_rows).cast("int").alias("_parts")).where("_parts > 1")
-    spread = F.pmod(F.xxhash64(*order), F.coalesce("_parts", F.lit(1))).cast("int")
-    fields = [c for c in children.columns if c != key]
-    row = F.struct(*order, F.struct(*fields).alias("_row"))
-    placed = salted_join(children, counts, [key], "left", row_key=F.xxhash64(*order)).withColumn("part", spread)
-    return placed.groupBy(key, "part").agg(
-        F.transform(F.array_sort(F.collect_list(row)), lambda r: r["_row"]).alias(name))
-
-
-def with_related(parents: DataFrame, children: DataFrame, key: str, order: list[str], name: str = "items") -> DataFrame:
-    """Parents with their children nested; an empty array where there are none."""
-    arrays = nested(children, key, order, name)
-    joined = parents.join(arrays, key, "left")
-    empty = F.array().cast(arrays.schema[name].dataType)
-    return joined.withColumn(name, F.coalesce(name, empty)).withColumn("part", F.coalesce("part", F.lit(0)))
+    placed = sums_before(children, [key], order, {"position": F.lit(1)})
+    return salted_join(parents, placed, [key], "left")
 
 
 def morph(targets: dict[str, DataFrame], links: DataFrame, type_col: str, id_col: str) -> DataFrame:

@@ -143,13 +143,13 @@ def has_relations(t):
     return big.unionByName(relations.where_missing(c, o, ["k"]).agg(F.count("*").alias("n")).select(F.lit("doesntHave").alias("scope"), "n"))
 
 
-@query("b19_eager_loading", """select c_custkey, c_name, coalesce((select string_agg(o_orderkey || ':' || o_orderstatus, ',' order by o_orderkey) from orders where o_custkey = c_custkey and o_orderpriority <> '5-LOW'), '') as orders from customer""")
+@query("b19_eager_loading", """select c_custkey, c_name, row_number() over (partition by c_custkey order by o_orderkey) - 1 + case when o_orderkey is null then null else 0 end as position, o_orderkey, o_orderstatus
+  from customer left join orders on o_custkey = c_custkey and o_orderpriority <> '5-LOW'""")
 def eager_loading(t):
     c = t.customer.select(col("c_custkey").alias("k"), "c_name")
     o = t.orders.where("o_orderpriority <> '5-LOW'").select(col("o_custkey").alias("k"), "o_orderkey", "o_orderstatus")
-    loaded = relations.with_related(c, o, "k", ["o_orderkey"], "orders")
-    text = F.array_join(F.transform("orders", lambda x: F.concat(x.o_orderkey.cast("string"), F.lit(":"), x.o_orderstatus)), ",")
-    return loaded.select(col("k").alias("c_custkey"), "c_name", text.alias("orders"))
+    loaded = relations.with_related(c, o, "k", ["o_orderkey"])
+    return loaded.select(col("k").alias("c_custkey"), "c_name", "position", "o_orderkey", "o_orderstatus")
 
 
 @query("b20_relation_through", """select n_name, count(distinct o_orderkey) as orders, count(distinct l_partkey) as parts from nation join customer on c_nationkey = n_nationkey join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey group by n_name""")

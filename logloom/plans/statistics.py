@@ -325,10 +325,10 @@ def foreign_key(t):
 
 # -- delivery -------------------------------------------------------------------
 
-@query("b90_pack_batches", """with s as (select source, doc_id, octet_length(encode(text)) as bytes, doc_id // 10000 as block, octet_length(encode(text)) <= 65536 as fits from documents),
-  c as (select *, cast(floor(coalesce(sum(bytes) over (partition by source, block, fits order by doc_id rows between unbounded preceding and 1 preceding), 0) / 65536) as bigint) as chunk from s),
-  r as (select *, (row_number() over (partition by source, block, fits, chunk order by doc_id) - 1) // 20 as slice from c)
-  select doc_id, case when fits then source || '-' || block || '-' || chunk || '-' || slice end as batch, cast(bytes as integer) as bytes from r""")
+@query("b90_pack_batches", """with s as (select source, doc_id, octet_length(encode(text)) as bytes, octet_length(encode(text)) <= 65536 as fits from documents),
+  c as (select *, cast(floor(coalesce(sum(bytes + 1) over (partition by source, fits order by doc_id rows between unbounded preceding and 1 preceding), 0) / 65536) as bigint) as chunk from s),
+  r as (select *, (row_number() over (partition by source, fits, chunk order by doc_id) - 1) // 20 as slice from c)
+  select doc_id, case when fits then source || '-' || chunk || '-' || slice end as batch, cast(bytes as integer) as bytes from r""")
 def pack_batches(t):
     return delivery.pack_batches(t.documents.select("source", "doc_id", "text"), "source", "doc_id", col("text"), max_entries=20, max_bytes=65536).select("doc_id", "batch", "bytes")
 

@@ -112,20 +112,25 @@ def test_range_lookup_bounds(spark):
     assert got == [(1, 0.0, "a"), (1, 4.9, "a"), (1, 5.0, "b"), (1, 24.99, "b"), (2, 99.0, "c")]
 
 
-def test_nested_children_stay_bounded(spark):
-    kids = spark.createDataFrame([("p", i) for i in range(100)] + [("q", 1)], "k string, i int")
-    rows = relations.nested(kids, "k", ["i"], part_rows=10).collect()
-    assert sum(len(r["items"]) for r in rows) == 101 and max(len(r["items"]) for r in rows) < 40
-    assert len([r for r in rows if r["k"] == "q"]) == 1
+def test_related_rows_have_one_shape(spark):
+    parents = spark.createDataFrame([("p",), ("q",), ("r",), (None,)], "k string")
+    kids = spark.createDataFrame([("p", i) for i in range(30_000)] + [("q", 1), (None, 2)], "k string, i int")
+    rows = relations.with_related(parents, kids, "k", ["i"]).collect()
+    assert len(rows) == 30_003
+    assert all(r["position"] == r["i"] for r in rows if r["k"] == "p") and [(r["position"], r["i"]) for r in rows if r["k"] == "q"] == [(0, 1)]
+    assert [(r["position"], r["i"]) for r in rows if r["k"] in ("r", None)] == [(None, None)] * 2
 
 
 def test_batches_respect_the_limits(spark):
-    rows = [("s", i, "x" * (300 if i % 7 else 5000)) for i in range(2000)] + [("s", 5000, "y" * 20000)]
-    packed = delivery.pack_batches(spark.createDataFrame(rows, "s string, o bigint, b string"), "s", "o", F.col("b"), 50, 10_000, block=500)
-    per = packed.where("batch is not null").groupBy("batch").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    rows = [("s", i, "x" * (300 if i % 7 else 5000)) for i in range(2000)] + [("s", 5000, "y" * 20000), (None, 1, "z"), ("s", 6000, None)]
+    packed = delivery.pack_batches(spark.createDataFrame(rows, "s string, o bigint, b string"), "s", "o", F.col("b"), 50, 10_000)
+    per = packed.where("batch is not null").groupBy("s", "batch").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
     worst = per.agg(F.max("n"), F.max("b")).first()
     assert worst[0] <= 50 and worst[1] <= 20_000
-    assert packed.count() == 2001 and packed.where("batch is null").count() == 1
+    assert packed.count() == 2003 and packed.where("batch is null").count() == 1
+    large = spark.createDataFrame([("s", 1, "a" * 262_143), ("s", 2, "b" * 262_144), ("s", 3, "c" * 196_608), ("s", 4, "d" * 196_608)], "s string, o bigint, b string")
+    framed = delivery.pack_batches(large, "s", "o", F.col("b")).groupBy(F.coalesce("batch", F.col("o").cast("string"))).agg((F.sum("bytes") + F.count("*") + 20).alias("b"))
+    assert framed.agg(F.max("b")).first()[0] < 512 * 1024
 
 
 def test_moments_and_spikes(spark):
