@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,17 @@ def as_instant(as_of: str | Column) -> Column:
     return as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
 
 
+def prune_days(entries: DataFrame, since: Column, slack_days: int = 0) -> DataFrame:
+    """Leave out day partitions of the stored log that end before ``since``; other tables are unchanged.
+
+    Rows whose time could not be parsed or ran ahead of their arrival stand in the day ``unknown``, which is always read.
+    """
+    if "event_date" not in entries.columns:
+        return entries
+    first = F.date_format(since - F.expr(f"interval {int(slack_days)} days"), "yyyy-MM-dd")
+    return entries.where((F.col("event_date") >= first) | (F.col("event_date") == "unknown"))
+
+
 def iso_millis(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 

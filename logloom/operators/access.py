@@ -51,9 +51,8 @@ def owned(projects: DataFrame, requests: DataFrame) -> DataFrame:
 
 def visible_entries(requests: DataFrame, entries: DataFrame, pairs: DataFrame) -> DataFrame:
     """Entries for (user_id, id) requests; a missing and a forbidden entry both vanish."""
-    found = salted_join(requests.select("user_id", "id"), entries, ["id"], "inner", row_key=F.xxhash64("user_id", "id"))
-    return salted_join(found, pairs.select("user_id", "project_id"), ["user_id", "project_id"], "left_semi",
-                       row_key=F.xxhash64("id"))
+    found = requests.select("user_id", "id").join(entries, "id")
+    return found.join(pairs.select("user_id", "project_id"), ["user_id", "project_id"], "left_semi")
 
 
 def visible_projects(projects: DataFrame, pairs: DataFrame) -> DataFrame:

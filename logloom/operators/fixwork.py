@@ -49,8 +49,10 @@ def reuse(entries: DataFrame, latest: DataFrame) -> DataFrame:
 
 def recent_occurrences(targets: DataFrame, entries: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     """How often each target's exact message occurred in its project lately (text time compare)."""
-    since = times.iso_millis(times.as_instant(as_of) - F.expr(f"interval {days} days"))
-    counts = entries.where(F.col("timestamp") > since).groupBy("project_id", "message").agg(F.count("*").alias("occurrences"))
+    cutoff = times.as_instant(as_of) - F.expr(f"interval {days} days")
+    since = times.iso_millis(cutoff)
+    # a time text with an offset may stand a day off its instant
+    counts = times.prune_days(entries, cutoff, slack_days=1).where(F.col("timestamp") > since).groupBy("project_id", "message").agg(F.count("*").alias("occurrences"))
     keyed = targets.select("id", "project_id", F.coalesce("message", F.lit("")).alias("message"))
     joined = salted_join(keyed, counts, ["project_id", "message"], "left", row_key=F.xxhash64("id"))
     return joined.select("id", F.coalesce("occurrences", F.lit(0).cast("bigint")).alias("occurrences"))

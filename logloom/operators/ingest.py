@@ -216,5 +216,7 @@ def settle(verdicts: DataFrame, project_rejected: DataFrame) -> DataFrame:
         .withColumn("stored", F.when(F.col("status") == 201, F.col("stored")))
         .withColumn("dropped", F.when(F.col("status") == 201, F.col("dropped")))
         .withColumn("skipped", F.when(F.col("status") == 201, F.col("skipped")))
+        .withColumn("project_id", F.when(F.col("status") == 201, F.col("project_id")))
+        .withColumn("charge", F.when(F.col("status") == 201, F.col("charge")))
         .drop("over")
     )

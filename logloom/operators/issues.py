@@ -16,20 +16,24 @@ from .skew import HOT_ROWS, salted_join
 _ISSUE = ["project_id", "fingerprint"]
 
 
-def issue_rollup(entries: DataFrame, exact_users: bool = True) -> DataFrame:
-    """One row per (project, shape): events, first and last time, first title and release, users.
+def issue_rollup(entries: DataFrame) -> DataFrame:
+    """One row per (project, shape): events, first and last time, title, release, level, channel and environment of the first event."""
+    first = F.struct("message", "release", "level", "channel", "environment")
+    rows = with_fingerprint(entries).groupBy(*_ISSUE).agg(
+        F.count("*").alias("events"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
+        F.min_by(first, F.struct("timestamp", "id")).alias("first"))
+    return rows.select(*_ISSUE, "events", "first_seen", "last_seen", F.col("first.message").alias("title"), F.col("first.release").alias("first_release"),
+                       "first.level", "first.channel", "first.environment")
+
+
+def affected_users(entries: DataFrame, exact: bool = True) -> DataFrame:
+    """Distinct ``id`` values of ``user_context`` per (project, shape), in an aggregate of its own so that texts don't travel per user.
 
-    Affected users are the distinct ``id`` values of ``user_context``. Everything combines
-    map-side; the exact count shuffles distinct (issue, user) pairs, the approximate one sketches.
+    The exact count shuffles distinct (issue, user) pairs, the approximate one sketches.
     """
-    first = F.struct("timestamp", "id")
     user = F.get_json_object("user_context", "$.id")
-    users = F.count_distinct(user) if exact_users else F.approx_count_distinct(user)
-    return with_fingerprint(entries).groupBy(*_ISSUE).agg(
-        F.count("*").alias("events"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
-        F.min_by("message", first).alias("title"), F.min_by("release", first).alias("first_release"),
-        F.min_by("level", first).alias("level"), F.min_by("channel", first).alias("channel"),
-        F.min_by("environment", first).alias("environment"), users.alias("users"))
+    return with_fingerprint(entries).select(*_ISSUE, user.alias("user")).groupBy(*_ISSUE).agg(
+        (F.count_distinct("user") if exact else F.approx_count_distinct("user")).alias("users"))
 
 
 def top_issues(issues: DataFrame, k: int = 10) -> DataFrame:
@@ -80,12 +84,12 @@ def spikes(entries: DataFrame, floor: int = 10, back: int = 24) -> DataFrame:
     """
     hour = F.floor(F.unix_seconds(times.event_ts(F.col("timestamp"))) / 3600).cast("bigint")
     counts = entries.withColumn("hour", hour).where("hour is not null").groupBy("project_id", "hour").agg(F.count("*").alias("events"))
-    span = counts.groupBy("project_id").agg(F.min("hour").alias("a"), F.max("hour").alias("b"))
-    grid = span.select("project_id", F.explode(F.sequence("a", "b")).alias("hour"))
-    filled = grid.join(counts, ["project_id", "hour"], "left").fillna(0, ["events"])
-    before = Window.partitionBy("project_id").orderBy("hour").rowsBetween(-back, -1)
-    n, s, q = (F.count("*").over(before), F.sum("events").over(before), F.sum(F.col("events") * F.col("events")).over(before))
-    stats = filled.withColumn("n", n).withColumn("s", s).withColumn("q", q).where(F.col("n") == back)
+    # A range of hours before the row; hours without events add nothing to either sum.
+    hours = Window.partitionBy("project_id").orderBy("hour")
+    before, start = hours.rangeBetween(-back, -1), hours.rangeBetween(Window.unboundedPreceding, 0)
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0).cast("bigint"))
+    stats = counts.select("project_id", "hour", "events", F.min("hour").over(start).alias("first"), total(F.col("events")).alias("s"),
+                          total(F.col("events") * F.col("events")).alias("q"), F.lit(back).cast("bigint").alias("n")).where(F.col("hour") - F.col("first") >= back)
     mean = F.col("s") / F.col("n")
     deviation = F.sqrt((F.col("n") * F.col("q") - F.col("s") * F.col("s")) / (F.col("n") * F.col("n")))
     return (
@@ -104,7 +108,8 @@ def environment_split(entries: DataFrame, environments: list[str]) -> DataFrame:
 def retain(entries: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Entries not older than ``days``; unparseable times are kept."""
     ts = times.event_ts(F.col("timestamp"))
-    return entries.where(ts.isNull() | (ts >= times.as_instant(as_of) - F.expr(f"interval {days} days")))
+    cutoff = times.as_instant(as_of) - F.expr(f"interval {days} days")
+    return times.prune_days(entries, cutoff).where(ts.isNull() | (ts >= cutoff))
 
 
 def severity_cube(entries: DataFrame) -> DataFrame:

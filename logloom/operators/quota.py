@@ -239,9 +239,17 @@ def budget_use(hits: DataFrame, windows: DataFrame, verdicts: DataFrame, limit:
         F.greatest(F.lit(0).cast("bigint"), limit - F.coalesce("used", F.lit(0).cast("bigint"))).alias("remaining"))
 
 
-def open_windows(windows: DataFrame, window_ms: int, now_ms: int) -> DataFrame:
-    """Counters still alive at ``now_ms``; the rest is what a sweep evicts."""
-    live = windows.groupBy("key", "opened").agg(F.sum("charge").alias("count"))
+def open_windows(hits: DataFrame, limit: int, window_ms: int, now_ms: int, mode: str = "memory") -> DataFrame:
+    """Counters still alive at ``now_ms`` and what they have counted by then; the rest is what a sweep evicts.
+
+    Later hits don't exist yet. In memory mode refused hits are not charged.
+    """
+    seen = hits.where(F.col("ms") <= now_ms)
+    windows = anchored_windows(seen, window_ms)
+    if mode == "memory":
+        live = budget_use(seen, windows, decide(seen, windows, limit, window_ms, mode), limit).select("key", "opened", F.col("used").alias("count"))
+    else:
+        live = windows.groupBy("key", "opened").agg(F.sum("charge").alias("count"))
     return live.where((F.col("opened") <= now_ms) & (F.col("opened") + window_ms > now_ms)).select(
         "key", "opened", "count", (F.col("opened") + window_ms).alias("reset_at"))
 

@@ -106,7 +106,7 @@ def in_range(df: DataFrame, range_key: str | None, as_of: str) -> DataFrame:
     if span is None:
         return df
     since = times.as_instant(as_of) - F.expr(f"interval {span}")
-    return df.where(times.event_ts(F.col("timestamp")) >= since)
+    return times.prune_days(df, since).where(times.event_ts(F.col("timestamp")) >= since)
 
 
 def dashboard_filter(df: DataFrame, as_of: str, project: str | None = None, floor: str | None = None,

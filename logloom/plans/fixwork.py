@@ -41,15 +41,14 @@ def latest_runs(t):
     return fixwork.latest_runs(t.fix_runs(), AS_OF).drop("analysis")
 
 
-@query("a49_worklist", f"""with latest as (select * from fix_runs where status in ('completed','failed') and created_at > '2024-01-30 23:00:00'),
+@query("a49_worklist", f"""with latest as (select * from fix_runs where status not in ('completed','failed') or created_at > '2024-01-30 23:00:00'),
   s as (select *, {_FP} as fingerprint from log_entries where level in {_FIX})
   select project_id, fingerprint, arg_min(id, timestamp || id) as log_entry_id, min(timestamp) as first_seen, count(*) as repeats
   from s where not exists (select 1 from latest l where l.project_id = s.project_id and l.fingerprint = s.fingerprint) group by project_id, fingerprint""")
 def worklist(t):
     t = t.heavy
-    # finished runs and one hour of cache: most shapes need a new answer
-    settled = t.fix_runs().where(F.col("status").isin("completed", "failed"))
-    return fixwork.worklist(t.log_entries(), settled, AS_OF, cache_hours=1)
+    # one hour of cache: active runs and fresh answers are left alone
+    return fixwork.worklist(t.log_entries(), t.fix_runs(), AS_OF, cache_hours=1)
 
 
 @query("a50_reuse_flag", f"with {_WEEK} select e.id, l.id as run_id, l.status, l.log_entry_id <> e.id as reused from (select id, project_id, {_FP} as fingerprint from log_entries where level in {_FIX}) e join latest l using (project_id, fingerprint)")

@@ -19,12 +19,12 @@ _ROLLUP = f"""{_SHAPED}, issues as (select project_id, fingerprint, count(*) as
 
 @query("c01_issue_rollup", f"with {_ROLLUP} select project_id, fingerprint, events, first_seen, last_seen, title, level, channel, environment from issues")
 def issue_rollup(t):
-    return issues.issue_rollup(t.heavy.log_entries()).drop("users", "first_release")
+    return issues.issue_rollup(t.heavy.log_entries()).drop("first_release")
 
 
 @query("c02_affected_users", f"with {_ROLLUP} select project_id, fingerprint, users from issues")
 def affected_users(t):
-    return issues.issue_rollup(t.heavy.log_entries()).select("project_id", "fingerprint", "users")
+    return issues.affected_users(t.heavy.log_entries())
 
 
 @query("c03_top_issues", f"with {_ROLLUP} select project_id, fingerprint, events, title from issues order by events desc, project_id, fingerprint limit 10")

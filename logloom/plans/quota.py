@@ -92,12 +92,12 @@ def ingest_budgets(t):
     return out
 
 
-@query("a45_open_windows", f"""with recursive {_HITS}, {_windows_sql(6 * HOUR)}
-  select key, cast(opened as bigint) as opened, cast(sum(charge) as bigint) as count, cast(opened + {6 * HOUR} as bigint) as reset_at from run
+@query("a45_open_windows", f"""with recursive {_HITS.replace("hits as", "all_hits as", 1)}, hits as (select * from all_hits where ms <= 1706616000000), {_windows_sql(6 * HOUR)}
+  select key, cast(opened as bigint) as opened, cast(sum(charge) filter (where prior < 20) as bigint) as count, cast(opened + {6 * HOUR} as bigint) as reset_at from run
   where opened <= 1706616000000 and opened + {6 * HOUR} > 1706616000000 group by key, opened""")
 def open_windows(t):
-    # counters alive at 2024-01-30 12:00; later hits of the same window are part of its final count
-    return quota.open_windows(quota.anchored_windows(_hits(t), 6 * HOUR), 6 * HOUR, 1706616000000)
+    # counters alive at 2024-01-30 12:00
+    return quota.open_windows(_hits(t), 20, 6 * HOUR, 1706616000000)
 
 
 @query("a66_alert_throttle", f"""with recursive hits as (select id as hit_id, project_id as key, epoch_ms(cast(timestamp[1:23] as timestamp)) as ms, 1 as charge from log_entries

@@ -102,7 +102,7 @@ def clock_guard(t):
     return jobs.run_available(guarded.select("id", F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("event_ts")), "guard")
 
 
-@query("s07_duplicate_suppression", "select project_id, message, count(*) as n from (select distinct project_id, level, message, channel, timestamp, trace_id, request_id from log_entries) group by project_id, message")
+@query("s07_duplicate_suppression", "select project_id, message, count(*) as n from (select distinct * exclude (id) from log_entries) group by project_id, message")
 def duplicate_suppression(t):
     timed = _timed(t)
     resent = timed.unionByName(timed.withColumn("id", F.concat("id", F.lit("-again"))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import times
@@ -16,11 +16,13 @@ def read_raw(spark: SparkSession, path: str, fmt: str = "parquet", **options: st
 
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
-    """Text files with one request body per line; file and offset make the request id."""
-    lines = spark.read.text(path).select(F.col("value").alias("body"), "_metadata.file_path", "_metadata.file_block_start",
-                                         F.monotonically_increasing_id().alias("n"))
-    key = F.concat_ws("|", "file_path", F.col("file_block_start").cast("string"), F.xxhash64("body").cast("string"), F.col("n").cast("string"))
-    return lines.select(F.sha2(key, 256).alias("request_id"), "body")
+    """Text files with one request body per line; file, body and the body's count in the file make the request id.
+
+    Reading the same files again, with others or in other splits, gives the same ids.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("body"), "_metadata.file_path", F.sha2("value", 256).alias("content"))
+    count = F.row_number().over(Window.partitionBy("file_path", "content").orderBy("content"))
+    return lines.select(F.sha2(F.concat_ws("|", "file_path", "content", count.cast("string")), 256).alias("request_id"), "body")
 
 
 def stream_raw(spark: SparkSession, path: str, fmt: str = "parquet", files_per_trigger: int = 100) -> DataFrame:
@@ -53,9 +55,9 @@ def guarded_ts(timestamp: Column, received: Column) -> Column:
 
 
 def with_partitions(entries: DataFrame, received: Column | None = None) -> DataFrame:
-    """Add ``event_date``, the day partition of the log table."""
+    """Add ``event_date``, the day partition of the log table: ``unknown`` where the time can't be read or runs ahead of the arrival."""
     ts = times.event_ts(F.col("timestamp"))
-    day = guarded_ts(F.col("timestamp"), received) if received is not None else ts
+    day = F.when(ts <= received.try_cast("timestamp"), ts) if received is not None else ts
     return entries.withColumn("event_date", F.coalesce(F.date_format(day, "yyyy-MM-dd"), F.lit("unknown")))
 
 

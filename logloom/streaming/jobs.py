@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import levels
 from ..operators import ingest
 from ..operators.fixwork import with_fingerprint
+from ..schema import LOG_COLUMNS
 from ..sources.io import guarded_ts, with_partitions
 
 
@@ -73,9 +74,9 @@ def trace_sessions(entries: DataFrame, gap: str, late: str = "10 minutes") -> Da
 
 
 def client_hash() -> Column:
-    """Identity of a resent entry: everything the client sent, not the assigned id."""
-    fields = ["project_id", "level", "message", "channel", "timestamp", "trace_id", "request_id"]
-    return F.xxhash64(*fields)
+    """Identity of a resent entry: all columns but the assigned id, a missing value told from an empty one."""
+    fields = [c for c in LOG_COLUMNS if c != "id"]
+    return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
 
 
 def suppress_duplicates(entries: DataFrame, late: str = "10 minutes") -> DataFrame:

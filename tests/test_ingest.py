@@ -147,3 +147,34 @@ def test_readers_and_sink(spark, tmp_path):
     plan = log.where((F.col("project_id") == "p") & (F.col("event_date") == "2024-01-05"))._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(project_id" in plan
     assert io.drop_partitions_before(log.withColumn("event_date", F.col("event_date").cast("string")), "2024-01-05").count() == 4
+
+
+def test_day_pruning_reaches_the_stored_log(spark, tables, tmp_path):
+    from logloom.operators import fixwork, issues, stream_query
+    from logloom.sources import io
+    path = str(tmp_path / "log")
+    late = tables.log_entries().limit(3).withColumn("timestamp", F.lit("not a time"))
+    io.append_entries(tables.log_entries().unionByName(late), path)
+    stored, as_of = io.read_entries(spark, path), "2024-01-31T00:00:00.000Z"
+    for plan, plain in ((stream_query.in_range(stored, "24h", as_of), stream_query.in_range(tables.log_entries(), "24h", as_of)),
+                        (issues.retain(stored, as_of, 10), issues.retain(tables.log_entries(), as_of, 10).unionByName(late))):
+        assert "event_date" in plan._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+        assert plan.count() == plain.count()
+    counts = fixwork.recent_occurrences(tables.log_entries().limit(50), stored, as_of)
+    assert sorted(counts.collect()) == sorted(fixwork.recent_occurrences(tables.log_entries().limit(50), tables.log_entries().unionByName(late), as_of).collect())
+
+
+def test_time_ahead_of_arrival_goes_to_the_unknown_day(spark):
+    from logloom.sources import io
+    rows = spark.createDataFrame([("2024-01-02T00:00:00Z", "2024-01-03T00:00:00Z"), ("2099-01-02T00:00:00Z", "2024-01-03T00:00:00Z"), ("x", "2024-01-03T00:00:00Z")], "timestamp string, received_at string")
+    assert [r["event_date"] for r in io.with_partitions(rows, F.col("received_at")).collect()] == ["2024-01-02", "unknown", "unknown"]
+
+
+def test_request_ids_survive_another_file(spark, tmp_path):
+    from logloom.sources import io
+    (tmp_path / "b.txt").write_text("same\nsame\nother\n" * 50)
+    ids = lambda: sorted(r["request_id"] for r in io.read_bodies(spark, str(tmp_path)).collect())
+    before = ids()
+    (tmp_path / "a.txt").write_text("same\nmore\n")
+    after = ids()
+    assert len(set(before)) == 150 and len(set(after)) == 152 and set(before) <= set(after)

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.operators import alerts, changes, commerce, delivery, fixwork, issues, quality, querylog, relations, search
+from logloom.operators import alerts, changes, commerce, delivery, fixwork, issues, quality, querylog, quota, relations, search
 from logloom.operators import stream_query as sq
 from logloom.sources import io
 from logloom.streaming import jobs
@@ -202,3 +202,27 @@ def test_stream_ingest_is_exactly_once(spark, tmp_path):
             q.stop()
     log = spark.read.parquet(out)
     assert log.count() == 4 and log.select("id").distinct().count() == 4 and spark.read.parquet(bad).count() == 2
+
+
+def test_spikes_survive_one_bad_clock(spark):
+    base = "project_id string, timestamp string"
+    hours = [("p", f"2024-01-01T{h:02d}:00:00.000Z") for h in range(24)] + [("p", "2024-01-02T00:10:00.000Z")] * 30 + [("p", "9999-01-01T00:00:00.000Z")] * 12
+    rows = issues.spikes(spark.createDataFrame(hours, base)).collect()
+    assert {(r["hour"], r["events"]) for r in rows} == {("2024-01-02 00:00:00", 30), ("9999-01-01 00:00:00", 12)}
+
+
+def test_resent_entries_are_told_apart_by_every_field(spark):
+    from logloom.schema import LOG_ENTRY
+    from logloom.streaming import jobs
+    names = [p.split()[0] for p in LOG_ENTRY.replace("\n", " ").split(",")]
+    row = dict.fromkeys(names, None) | {"id": "1", "message": "m"}
+    rows = [row, row | {"id": "2"}, row | {"trace_id": "x"}, row | {"request_id": "x"}, row | {"context": "{}"}, row | {"trace_id": ""}]
+    df = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], LOG_ENTRY)
+    hashes = [r[0] for r in df.select(jobs.client_hash()).collect()]
+    assert hashes[0] == hashes[1] and len(set(hashes)) == 5
+
+
+def test_open_counters_know_only_the_past(spark):
+    hits = spark.createDataFrame([(i, "k", ms, 1) for i, ms in enumerate((0, 1000, 2000, 8000))], "hit_id bigint, key string, ms bigint, charge bigint")
+    count = lambda limit, mode: [r["count"] for r in quota.open_windows(hits, limit, 10_000, 1500, mode).collect()]
+    assert count(5, "memory") == [2] and count(1, "memory") == [1] and count(1, "shared") == [2]
