@@ -80,8 +80,28 @@ def unix_range(c: Column, milliseconds: bool = False) -> Column:
     return c.between(0, top)
 
 
+def today(c: Column, as_of: Column) -> Column:
+    return F.to_date(c) == F.to_date(as_of)
+
+
+def datetime_range(c: Column) -> Column:
+    """Within the years 1000 to 9999."""
+    return F.year(c).between(1000, 9999)
+
+
+def unix_digits(c: Column) -> Column:
+    """A positive number, or its text, of 10 to 13 digits."""
+    return c.cast("string").rlike("^[0-9]{10,13}$") & (c.cast("bigint") > 0)
+
+
 # Results
 
+def model_rules(required: list[str], most: dict[str, int]) -> list[Rule]:
+    """Required columns, and largest lengths of optional texts."""
+    return [(f"{c} required", F.coalesce(F.col(c), F.lit("")) != "") for c in required] + [
+        (f"{c} max", optional(F.col(c), F.length(c) <= n)) for c, n in most.items()]
+
+
 def validate(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """Add ``errors`` (names of failed rules, in rule order) and ``valid``. NULL fails a rule."""
     failed = F.array_compact(F.array(*[F.when(~_holds(test), F.lit(name)) for name, test in rules]))

@@ -22,6 +22,29 @@ def paginate(df: DataFrame, order: list[Column], page: int, per_page: int) -> tu
     return rows, info
 
 
+def json_contains(json: Column, value: int | str | bool, path: str = "$") -> Column:
+    """Whether the JSON value at ``path`` is the scalar ``value`` or an array that holds it; types must agree. NULL for broken JSON."""
+    kind = "boolean" if isinstance(value, bool) else "bigint" if isinstance(value, int) else "string"
+    tree = F.try_parse_json(json)
+
+    def same(x: Column) -> Column:
+        return (F.schema_of_variant(x) == kind.upper()) & (F.try_variant_get(x, "$", kind) == F.lit(value))
+
+    items = F.try_variant_get(tree, path, "array<variant>")
+    one = F.try_variant_get(tree, path, "variant")
+    return F.when(tree.isNotNull(), F.coalesce(F.exists(items, same), same(one), F.lit(False)))
+
+
+def in_both(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct keys of ``a`` that ``b`` has too; NULL equals NULL."""
+    return a.select(*keys).intersect(b.select(*keys))
+
+
+def without(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of ``a`` less those of ``b``, each as often as it is left over."""
+    return a.select(*keys).exceptAll(b.select(*keys))
+
+
 def where_has(parents: DataFrame, children: DataFrame, on: list[str]) -> DataFrame:
     return parents.join(children.select(*on), on, "left_semi")
 

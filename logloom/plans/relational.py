@@ -217,3 +217,19 @@ def affiliate_stats(t):
     kind = col("event_type")
     recent = t.events.where(col("ts") >= F.lit("2024-01-01").cast("timestamp_ntz"))
     return commerce.affiliate_stats(recent, "user_id", kind == "click", kind == "purchase", col("value"))
+
+
+@query("b23_json_array_contains", "select event_id, json_contains(cast('[' || cast(json_extract(props, '$.k') as varchar) || ',' || user_id || ',\"x\"]' as json), '7') as has_seven from events")
+def json_array_contains(t):
+    text = F.format_string('[%s,%d,"x"]', F.get_json_object("props", "$.k"), col("user_id"))
+    return t.events.select("event_id", relations.json_contains(text, 7).alias("has_seven"))
+
+
+@query("b24_keys_in_both", "select l_orderkey as k from lineitem where l_quantity > 45 intersect select o_orderkey from orders where o_orderstatus = 'O'")
+def keys_in_both(t):
+    return relations.in_both(t.lineitem.where("l_quantity > 45").select(col("l_orderkey").alias("k")), t.orders.where("o_orderstatus = 'O'").select(col("o_orderkey").alias("k")), ["k"])
+
+
+@query("b24_keys_left_over", "select l_orderkey as k from lineitem except all select o_orderkey from orders")
+def keys_left_over(t):
+    return relations.without(t.lineitem.select(col("l_orderkey").alias("k")), t.orders.select(col("o_orderkey").alias("k")), ["k"])

@@ -64,6 +64,14 @@ def active_recent_lists(t):
     return recent.unionByName(after).unionByName(viewed)
 
 
+@query("b65_by_code_and_active", """select 'by_code' as list, c_custkey as id from customer where lower(c_name) in ('customer#000000001', 'customer#000000002') union all
+  select 'active', o_orderkey from orders where o_orderstatus = 'O' and o_orderdate <= timestamp '2000-06-30'""")
+def by_code_and_active(t):
+    codes = t.customer.where(F.lower("c_name").isin("customer#000000001", "customer#000000002")).select(F.lit("by_code").alias("list"), col("c_custkey").alias("id"))
+    active = t.orders.where((col("o_orderstatus") == "O") & (col("o_orderdate") <= F.lit("2000-06-30").cast("timestamp_ntz")))
+    return codes.unionByName(active.select(F.lit("active").alias("list"), col("o_orderkey").alias("id")))
+
+
 @query("b66_counts_by", """select 'status' as dimension, o_orderstatus as value, count(*) as n from orders group by o_orderstatus union all select 'priority', o_orderpriority, count(*) from orders group by o_orderpriority
   union all select 'year', cast(year(o_orderdate) as varchar), count(*) from orders group by all""")
 def counts_by(t):
@@ -115,6 +123,23 @@ def wait_times(t):
                                                   (F.sum("w") / F.count("*")).alias("average_days"))
 
 
+@query("b71_current_waits", """select o_orderpriority as queue, count(*) as waiting, max(w) as longest_days, cast(sum(w) as double) / count(*) as average_days
+  from (select o_orderpriority, date_diff('day', o_orderdate, timestamp '2001-01-01') as w from orders where o_orderstatus = 'O') group by o_orderpriority""")
+def current_waits(t):
+    # open entries wait until now
+    wait = F.date_diff(F.lit("2001-01-01").cast("date"), F.to_date("o_orderdate")).cast("bigint")
+    waits = t.orders.where("o_orderstatus = 'O'").select(col("o_orderpriority").alias("queue"), wait.alias("w"))
+    return waits.groupBy("queue").agg(F.count("*").alias("waiting"), F.max("w").alias("longest_days"), (F.sum("w") / F.count("*")).alias("average_days"))
+
+
+@query("b72_page_stats", """select source, count(*) as jobs, cast(sum(p) as bigint) as pages, cast(sum(p) as double) / count(*) as pages_per_job, cast(sum(n_chars) as double) / count(*) as average_size
+  from (select source, n_chars, (n_chars + 2999) // 3000 as p from documents) group by source""")
+def page_stats(t):
+    pages = F.floor((col("n_chars") + 2999) / 3000).cast("bigint")
+    return t.documents.select("source", "n_chars", pages.alias("p")).groupBy("source").agg(
+        F.count("*").alias("jobs"), F.sum("p").alias("pages"), (F.sum("p") / F.count("*")).alias("pages_per_job"), (F.sum("n_chars") / F.count("*")).alias("average_size"))
+
+
 _JOBS = """select {k} as hour, count(*) as total, count(*) filter (where s = 'success') as success, count(*) filter (where s = 'failed') as failed, count(*) filter (where s = 'warning') as warning, min(d) as duration_min, max(d) as duration_max,
   cast(count(*) filter (where s = 'success') as double) * 100.0 / count(*) as success_rate, cast(sum(d) as double) / count(*) as duration_avg
   from (select strftime(ts, '%Y-%m-%d %H') as h, case event_type when 'error' then 'failed' when 'signup' then 'warning' else 'success' end as s, cast(floor(value * 100) as bigint) as d from events) group by h"""
@@ -287,6 +312,17 @@ def date_rules(t):
         ("between", d.between(day("1995-06-01"), day("2000-06-01"))), ("unix", quality.unix_range(F.unix_seconds(d.cast("timestamp"))))]), "o_orderkey")
 
 
+@query("b84_more_date_rules", "select o_orderkey, " + _rules_sql([
+    ("max", "o_orderdate <= timestamp '1999-12-31'"), ("after", "o_orderdate > timestamp '1996-06-30'"), ("today", "cast(o_orderdate as date) = date '1998-03-02'"),
+    ("weekend", "dayofweek(o_orderdate) in (0, 6)"), ("datetime", "year(o_orderdate) between 1000 and 9999"), ("digits", "cast(o_orderkey * 100000000 as varchar) similar to '[0-9]{10,13}'")]) + " from orders")
+def more_date_rules(t):
+    d = col("o_orderdate")
+    day = lambda s: F.lit(s).cast("timestamp_ntz")
+    return _errors(quality.validate(t.orders, [
+        ("max", d <= day("1999-12-31")), ("after", d > day("1996-06-30")), ("today", quality.today(d, day("1998-03-02"))), ("weekend", quality.weekend(d)),
+        ("datetime", quality.datetime_range(d)), ("digits", quality.unix_digits(col("o_orderkey") * 100000000))]), "o_orderkey")
+
+
 @query("b85_object_shape", "select event_id, " + _rules_sql([("object", "json_type(props) = 'OBJECT'"), ("k", "json_type(props, '$.k') in ('UBIGINT', 'BIGINT')"), ("custom", "cast(json_extract_string(props, '$.k') as integer) % 2 = 0")]) + " from events")
 def object_shape(t):
     tree = F.try_parse_json("props")
@@ -317,6 +353,15 @@ def unique_key(t):
     return twice.unionByName(lines)
 
 
+@query("b87_model_constraints", "select id, " + _rules_sql([
+    ("project_id required", "project_id <> ''"), ("message required", "message <> ''"), ("trace_id required", "trace_id <> ''"),
+    ("message max", "message is null or length(message) <= 40"), ("request_id max", "request_id is null or length(request_id) <= 7")]) + " from log_entries")
+def model_constraints(t):
+    # short limits, so that the rules bite on this data
+    rules = quality.model_rules(["project_id", "message", "trace_id"], {"message": 40, "request_id": 7})
+    return _errors(quality.validate(t.log_entries(), rules), "id")
+
+
 @query("b87_foreign_key", "select l_orderkey, l_linenumber, l_partkey from lineitem where l_orderkey is not null and l_orderkey not in (select o_orderkey from orders where o_orderstatus <> 'P')")
 def foreign_key(t):
     parents = t.orders.where("o_orderstatus <> 'P'")
@@ -377,3 +422,9 @@ def array_helpers(t):
 @query("b96_hit_rate", "select event_type, count(*) as total, count(*) filter (where value > 20) as hit_count, cast(count(*) filter (where value > 20) as double) * 100.0 / count(*) as hit_rate from events group by event_type")
 def hit_rate(t):
     return delivery.hit_rate(t.events, ["event_type"], col("value") > 20)
+
+
+@query("b96_job_statistics", "select status, count(*) as jobs, min(created_at) as oldest, max(created_at) as newest from fix_runs group by status")
+def job_statistics(t):
+    """Depth of every state of the work queue."""
+    return t.fix_runs().groupBy("status").agg(F.count("*").alias("jobs"), F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"))

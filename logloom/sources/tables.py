@@ -183,7 +183,7 @@ class Tables:
     # -- derived activity ------------------------------------------------------
 
     def fix_runs(self) -> DataFrame:
-        """One analysis run per error or purchase entry, its state taken from the event value."""
+        """One analysis run per error or purchase entry, its state from a hash of the id."""
         entries = self.log_entries().where(F.col("level").isin("warning", "error", "critical", "alert", "emergency"))
         # value is not part of the log row, so the state hashes the id instead
         state = F.conv(F.substring(F.md5("id"), 1, 2), 16, 10).cast("int") % 8
