@@ -112,7 +112,29 @@ def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return found.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & fine)
 
 
-@query("op7_quality_rules")
+def _sql() -> str:
+    """The query in SQL: words by position, n-grams as text."""
+    grams = "".join(f"""
+g{n} as (select r, i, count(*) over (partition by r, k) as c from (select r, i, array_to_string(w[i: i + {n} - 1], ' ') as k from (select r, w, unnest(range(1, len(w) - {n} + 2)) as i from d where len(w) >= {n}))),
+in{n} as (select d.r, count(*) as words, cast(sum(length(d.w[p.p])) as bigint) as chars from (select distinct r, unnest(range(i, i + {n})) as p from g{n} where c > 1) p join d on d.r = p.r group by d.r),""" for n in (WINDOW, *MOST_COVERED))
+    shares = ", ".join(f"case when word_chars > 0 then coalesce(in{n}.chars, 0)::double / word_chars else 0.0::double end as share_{n}" for n in MOST_COVERED)
+    fine = " and ".join(f"share_{n} <= {limit}" for n, limit in MOST_COVERED.items())
+    return rf"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),{grams}
+l as (select r, x, count(*) over (partition by r, x) as c, row_number() over (partition by r, x) as k, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) as n
+      from (select r, unnest(string_split(t, chr(10))) as x from d) where regexp_matches(x, '[^\x20\x09-\x0D]')),
+ls as (select r, count(*) filter (where k > 1) as n_dup_lines, cast(coalesce(sum(n) filter (where c > 1), 0) as bigint) as chars from l group by r),
+b as (select r, doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols from d),
+m as (select b.*, coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(in{WINDOW}.words, 0)::bigint as n_repeat_words, {shares},
+        case when word_chars > 0 then coalesce(ls.chars, 0)::double / word_chars else 0.0::double end as share_lines
+      from b left join ls using (r) {" ".join(f"left join in{n} using (r)" for n in (WINDOW, *MOST_COVERED))}),
+f as (select *, n_words < {LEAST_WORDS} or 100 * n_repeat_words > 50 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {fine} and share_lines <= {MOST_IN_LINES} as kept,
+  {", ".join(f"share_{n}" for n in MOST_COVERED)}, share_lines from f
+"""
+
+
+@query("op7_quality_rules", _sql())
 def op7_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
     """Quality rules over all documents."""
     return quality_rules(table(spark, directory, "documents")).select(
