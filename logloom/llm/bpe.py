@@ -37,11 +37,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship_by_value
-from .flat import STEP, Hasher, mixed, powers, sums_between
+from .flat import STEP, Hasher, mixed, powers, sums_between, tidy
 from .registry import query, table
 
-KNOWN_WORDS = 2_000_000
-TEXT_PIECE = 1_000_000
+KNOWN_WORDS = 500_000
+TEXT_PIECE = 500_000
 # Words of more bytes are merged one by one with a heap.
 LONG_WORD = 48
 END = "</w>"
@@ -73,8 +73,18 @@ class Table:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two keys share a hash")
-        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.bits, self.used = max(4, int(4 * len(keys)).bit_length()), 0
         self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int64)
+        self.add(keys, values)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add distinct keys that are not in the table yet."""
+        self.used += len(keys)
+        if 2 * self.used > 1 << self.bits:
+            held = self.values >= 0
+            keys, values = np.concatenate([self.keys[held], keys]), np.concatenate([self.values[held], values])
+            self.bits = int(4 * self.used).bit_length()
+            self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int64)
         at = self.place(keys)
         while len(at):
             free = self.values[at] < 0
@@ -300,17 +310,17 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.slots, self.known = Table(np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def learn(self, hashes: list[int], points: np.ndarray, size: np.ndarray) -> None:
+    def learn(self, hashes: np.ndarray, points: np.ndarray, size: np.ndarray) -> None:
         """Encode new words; ``points`` are their code points one after the other, ``size`` the number of each word's."""
         data = np.frombuffer(points.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
         width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
         width = sums_between(width, np.concatenate([[0], np.cumsum(size)]))
         flat, counts = self.v.encode_words(data, np.concatenate([[0], np.cumsum(width)]))
-        n, k = len(self.slots), len(size)
+        n, k = self.known, len(size)
         while len(self.start) < n + k:
             self.start, self.count = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.count))
         while len(self.flat) < self.used + len(flat):
@@ -319,7 +329,8 @@ class Encoder:
         self.start[n: n + k] = self.used + np.cumsum(counts) - counts
         self.count[n: n + k] = counts
         self.used += len(flat)
-        self.slots.update(zip(hashes, range(n, n + k), strict=True))
+        self.slots.add(hashes, np.arange(n, n + k))
+        self.known += k
 
     def words(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Borders of the words among code points."""
@@ -364,15 +375,15 @@ class Encoder:
         sums = np.zeros(len(points) + 1, np.uint64)
         np.cumsum(points * self.up[: len(points)], out=sums[1:])
         hashes = mixed((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64) * STEP)
-        distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.slots) + len(distinct) > KNOWN_WORDS and self.slots:
+        if self.known > KNOWN_WORDS:
             self.forget()
-        keys, slots = distinct.tolist(), self.slots
-        new = [i for i, k in enumerate(keys) if k not in slots]
-        if new:
-            s, size = start[at[new]], (end - start)[at[new]]
-            self.learn([keys[i] for i in new], points[_ranges(s, size)], size)
-        slot = np.fromiter(map(slots.__getitem__, keys), np.int64, len(keys))[back]
+        slot = self.slots.get(hashes)
+        lost = np.flatnonzero(slot < 0)
+        if len(lost):
+            new, at = np.unique(hashes[lost], return_index=True)
+            s, size = start[lost[at]], (end - start)[lost[at]]
+            self.learn(new, points[_ranges(s, size)], size)
+            slot[lost] = self.slots.get(hashes[lost])
         count = self.count[slot]
         ids = self.flat[_ranges(self.start[slot], count)]
         total = np.concatenate([[0], np.cumsum(count)])
@@ -418,19 +429,33 @@ def load(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast(cloudpickle.dumps(Vocabulary(path)))
 
 
+def _id_lists(encoder: Encoder, texts: pa.Array) -> pa.ListArray:
+    ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for group in text_groups(texts.fill_null("").to_pylist()):
+        i, c = encoder.encode_all(group)
+        ids.append(i)
+        counts.append(c)
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+
+
+def _texts(lists: pa.ListArray, names: pa.Array) -> pa.Array:
+    flat = lists.values.slice(lists.offsets[0].as_py(), lists.offsets[-1].as_py() - lists.offsets[0].as_py())
+    known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(names))), False)
+    tokens = names.take(pc.if_else(known, flat, pa.scalar(None, pa.int32())))
+    own = pa.ListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), tokens)
+    text = pc.binary_join(own, " ") if not tokens.null_count else pa.array([" ".join(t for t in x if t is not None) for x in own.to_pylist()], pa.string())
+    return pc.if_else(lists.is_valid(), text, pa.scalar(None, pa.string()))
+
+
 def encoded(text: str | Column, vocabulary: Broadcast) -> Column:
     """Ids of a whole text."""
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(pickle.loads(vocabulary.value))
         for batch in batches:
-            ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-            for group in text_groups(batch.fill_null("").to_pylist()):
-                i, c = encoder.encode_all(group)
-                ids.append(i)
-                counts.append(c)
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+            yield _id_lists(encoder, batch)
+        tidy()
 
     encode.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(encode, "array<int>")(text)
@@ -442,22 +467,31 @@ def decoded(ids: str | Column, vocabulary: Broadcast) -> Column:
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = pa.array(pickle.loads(vocabulary.value).names, pa.string())
         for batch in batches:
-            flat = batch.values.slice(batch.offsets[0].as_py(), batch.offsets[-1].as_py() - batch.offsets[0].as_py())
-            known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(names))), False)
-            tokens = names.take(pc.if_else(known, flat, pa.scalar(None, pa.int32())))
-            offsets = pc.subtract(batch.offsets, batch.offsets[0])
-            lists = pa.ListArray.from_arrays(offsets, tokens)
-            text = pc.binary_join(lists, " ") if not tokens.null_count else pa.array([" ".join(t for t in x if t is not None) for x in lists.to_pylist()], pa.string())
-            yield pc.if_else(batch.is_valid(), text, pa.scalar(None, pa.string()))
+            yield _texts(batch, names)
+        tidy()
 
     decode.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(decode, "string")(ids)
 
 
+def there_and_back(text: str | Column, vocabulary: Broadcast) -> Column:
+    """Struct of ``ids`` and ``decoded`` of a whole text."""
+
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = Encoder(pickle.loads(vocabulary.value))
+        names = pa.array(encoder.v.names, pa.string())
+        for batch in batches:
+            lists = _id_lists(encoder, batch)
+            yield pa.StructArray.from_arrays([lists, _texts(lists, names)], ["ids", "decoded"])
+        tidy()
+
+    both.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(both, "ids array<int>, decoded string")(text)
+
+
 def round_trip(docs: DataFrame, vocabulary: Broadcast, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: key, ``ids`` of its whole text, and ``decoded``, the text of these ids."""
-    rows = docs.select(F.col(id_column), encoded(F.col(text_column), vocabulary).alias("ids"))
-    return rows.withColumn("decoded", decoded(F.col("ids"), vocabulary))
+    """One row per document: key, ``ids`` of its whole text, and ``decoded``, the text of these ids. Both in one Python worker."""
+    return docs.select(F.col(id_column), there_and_back(F.col(text_column), vocabulary).alias("b")).select(id_column, "b.*")
 
 
 def word_vocabulary() -> str:
