@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
 from ..shipping import ship_by_value
-from .flat import ALPHANUMERIC, LOWER, Hasher, Words, pieces, runs_of, words_of
+from .flat import ALPHANUMERIC, LOWER, Hasher, Words, pieces, runs_of, tidy, words_of
 from .registry import query, table
 
 WINDOW = 10
@@ -114,6 +114,7 @@ def scan(text: str | Column, field: np.ndarray, lengths: list[int], window: int
                 out += rows
             n_words = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             yield pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(out, kind)], ["n_words", "runs"])
+        tidy()
 
     search.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(search, "n_words long, runs array<struct<at: int, words: string, hits: array<struct<place: int, token: bigint>>>>")(text)

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship_by_value
+from .flat import tidy
 from .registry import query, table
 
 SAMPLE_TEXTS = 128
@@ -96,6 +97,7 @@ def language(text: str | Column, learned: dict[str, Learned], least_margin: floa
             rows = [one(x.as_py()) for x in batch]
             lang, score, rejected = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["lang", "score", "rejected"])
+        tidy()
 
     predict.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(predict, "lang string, score double, rejected boolean")(text)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship_by_value
-from .flat import BLANK_SEPARATED, Hasher, mixed, pieces, repeated, runs_of, sums_between, words_of
+from .flat import BLANK_SEPARATED, Hasher, mixed, pieces, repeated, runs_of, sums_between, tidy, words_of
 from .registry import query, table
 
 # Largest share of characters inside repeated n-grams, by n-gram length, and inside repeated lines.
@@ -94,6 +94,7 @@ def repetition(text: str | Column = "text", lengths: tuple[int, ...] = tuple(MOS
             parts = [_measure(data, borders, lengths, hasher) for _, _, data, borders in pieces(batch)]
             columns = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in names]
             yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+        tidy()
 
     measure.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(measure, ", ".join(f"{k} long" for k in names))(text)

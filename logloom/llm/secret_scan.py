@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship_by_value
+from .flat import tidy
 from .registry import query, table
 from .shared import shared_folder
 
@@ -69,6 +70,7 @@ def scanned(text: Column, wanted: Column, rules: dict[str, tuple[int, str, int,
         kind = pa.list_(pa.struct([("kind", pa.string()), ("version", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
         for texts, ids in batches:
             yield pa.array([one(t.as_py() or "", i.as_py()) for t, i in zip(texts, ids, strict=True)], kind)
+        tidy()
 
     scan.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     return F.arrow_udf(scan, FINDINGS)(text, wanted)
@@ -131,6 +133,7 @@ def masked(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:
                     at, inside = max(at, f["end"]), True
                 out.append("".join([*parts, t[at:]]))
             yield pa.array(out, pa.string())
+        tidy()
 
     mask.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     return F.arrow_udf(mask, "string")(text, findings)
