@@ -80,8 +80,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocabulary = bpe.load(spark, bpe.word_vocabulary())
-    rows = docs.select("doc_id", "lang", "source", bpe.encoded(F.col("text"), vocabulary).alias("ids"))
-    rows = rows.withColumn("decoded", bpe.decoded(F.col("ids"), vocabulary))
+    rows = docs.select("doc_id", "lang", "source", bpe.there_and_back(F.col("text"), vocabulary).alias("b")).select("doc_id", "lang", "source", "b.*")
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
