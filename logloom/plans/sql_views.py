@@ -5,6 +5,7 @@ from __future__ import annotations
 _B = r"\b"
 
 # Same masks as functions.fingerprint; this dialect's \b is ASCII already.
+# The masks of a message shape, in their order.
 _MASKS = [
     (r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<uuid>"),
     (r"\b\d{4}-\d{2}-\d{2}[t ]\d{2}:\d{2}:\d{2}(?:\.\d+)?z?\b", "<time>"),
