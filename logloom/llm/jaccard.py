@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..operators.lineage import cut
 from ..shipping import ship_by_value
 from .components import least_labels
-from .flat import BLANK_SEPARATED, LOWER, Hasher, mixed, pieces, repeated, shingles_of, words_of
+from .flat import BLANK_SEPARATED, LOWER, Hasher, mixed, pieces, repeated, shingles_of, tidy, words_of
 from .registry import query, table
 
 SHINGLE = 5
@@ -78,6 +78,7 @@ def counted_tokens(text: str | Column, shingle: int = SHINGLE) -> Column:
                 counts.append(np.diff(np.concatenate([[0], np.cumsum(low)])[first]))
             offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
             yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values).view(np.int64)))
+        tidy()
 
     make.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(make, "array<bigint>")(text)
@@ -130,9 +131,11 @@ def described(text: str | Column, field: np.ndarray | None, shingle: int = SHING
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)), mask=pa.array(~once))
                 columns, names = [*columns, lists], [*names, "tokens"]
             yield pa.StructArray.from_arrays(columns, names)
+        tidy()
 
     make.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(make, "n long, node long" + (", tokens array<bigint>" if field is not None else ""))(text)
+    # Declared nondeterministic, so that no filter on a field is pushed below and evaluates it again.
+    return F.arrow_udf(make, "n long, node long" + (", tokens array<bigint>" if field is not None else "")).asNondeterministic()(text)
 
 
 def _least_overlap(a: Column, b: Column, percent: int) -> Column:
@@ -175,12 +178,14 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     at = lambda rows, node: rows.select(F.col(node).alias("node"), "n", "alone", *(["members"] if "members" in rows.columns else []), F.posexplode("prefix").alias("at", "token")).withColumn("place", F.col("at") + F.col("alone"))
     spots = at(groups, "leader")
-    # Two hubs a token: the set with the least share of tokens of its own, and the leader of most members.
-    one = F.struct("node", "n", "place")
+    # Two hubs a token: the set with the least share of tokens of its own, and the leader of most members. Of the hubs that a leader's
+    # tokens offer it takes two, so links grow with the sets; what they leave apart is the rest's.
+    one = F.struct("node", "n", "place", (F.col("alone") / F.col("n")).alias("own"))
     hubs = spots.groupBy("token").agg(F.min_by(one, F.struct(F.col("alone") / F.col("n"), F.col("node"))).alias("plain"), F.max_by(one, F.struct("members", "node")).alias("large"), F.count("*").alias("found"))
-    hubs = hubs.filter(F.col("found") > 1).select("token", F.explode(F.array_distinct(F.array("plain", "large"))).alias("h")).select("token", F.struct("h.*").alias("hub"))
+    hubs = hubs.filter(F.col("found") > 1).select("token", "found", F.explode(F.array_distinct(F.array("plain", "large"))).alias("hub"))
     across = spots.select("token", F.struct("node", "n", "place").alias("spot")).join(hubs, "token").filter((F.col("hub.node") != F.col("spot.node")) & fits("hub", "spot"))
-    across = across.select(F.least("hub.node", "spot.node").alias("a"), F.greatest("hub.node", "spot.node").alias("b"))
+    across = across.groupBy(F.col("spot.node").alias("node")).agg(F.min_by("hub.node", F.struct("hub.own", "hub.node")).alias("plain"), F.max_by("hub.node", F.struct("found", "hub.node")).alias("common"))
+    across = across.select("node", F.explode(F.array_distinct(F.array("plain", "common"))).alias("hub")).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
     first = verified(inside.unionByName(across).distinct(), sets, percent)
 
     known = least_labels(first, rounds=2)
