@@ -215,7 +215,24 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     return rows.select(id_column, "n_shingles", F.when(own, key).otherwise(F.col("class_id")).alias("class_id"), F.when(own, key).otherwise(F.col("component_id")).alias("component_id"))
 
 
-@query("op8_ngram_jaccard")
+# The query in SQL: shingles as text, all pairs that share one, and reachability.
+OP8_SQL = rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i: i + {SHINGLE - 1}], ' ') as k from (select doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.k = b.k and a.doc_id < b.doc_id group by all),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * o >= {PERCENT} * (x.n + y.n - o)),
+ways as (select a, b from e union all select b, a from e),
+reach as (select doc_id, doc_id as other from d union select r.doc_id, t.b from reach r join ways t on t.a = r.other),
+c as (select doc_id, min(other) as component_id from reach group by doc_id),
+f as (select doc_id, md5(string_agg(k, chr(10) order by k)) as f from s group by doc_id),
+cl as (select doc_id, min(doc_id) over (partition by f) as class_id from f)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, coalesce(cl.class_id, d.doc_id) as class_id
+from d left join n using (doc_id) join c using (doc_id) left join cl using (doc_id)
+"""
+
+
+@query("op8_ngram_jaccard", OP8_SQL)
 def op8_ngram_jaccard(spark: SparkSession, directory: str) -> DataFrame:
     """Components of similar documents."""
     return similar_documents(table(spark, directory, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
