@@ -165,8 +165,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return cut(both.filter(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b"))
 
 
-def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Verified pairs of ``node`` that connect exactly what all similar pairs connect."""
+def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``node`` and ``label`` of all sets that have links; labels are equal exactly where similar pairs connect the sets."""
     groups = sets.groupBy("n", "alone", "prefix").agg(F.min("node").alias("leader"), F.count("*").alias("members"))
     groups = cut(groups)
     inside = sets.join(groups, ["n", "alone", "prefix"]).filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b"))
@@ -188,7 +188,7 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     across = across.select("node", F.explode(F.array_distinct(F.array("plain", "common"))).alias("hub")).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
     first = verified(inside.unionByName(across).distinct(), sets, percent)
 
-    known = least_labels(first, rounds=2)
+    known = least_labels(first)
     members = at(sets.select("node", "n", "alone", "prefix"), "node").join(known, "node", "left").select("token", "node", "n", "place", F.coalesce("label", "node").alias("label"))
     members = cut(members)
     sizes = members.groupBy("token", "label").agg(F.count("*").alias("found"))
@@ -198,14 +198,20 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     every = mixed_tokens.select("token", F.struct("node", "n", "place", "label").alias("y"))
     rest = few.join(every, "token").filter((F.col("x.label") != F.col("y.label")) & fits("x", "y"))
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    return first.unionByName(verified(rest, sets, percent))
+    # What the rest connects are components already, so their labels take the place of the sets.
+    late = verified(rest, sets, percent)
+    of = lambda x: known.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    named = late.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label_b"))
+    joined = least_labels(named.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("joined"))
+    ends = named.select(F.col("a").alias("node"), F.col("label_a").alias("label")).unionByName(named.select(F.col("b").alias("node"), F.col("label_b").alias("label")))
+    return known.unionByName(ends).distinct().join(joined, "label", "left").select("node", F.coalesce("joined", "label").alias("label"))
 
 
 def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: key, ``n_shingles``, ``class_id`` (least key of the same set), ``component_id`` (least key that links reach)."""
     key = F.col(id_column)
     held = cut(docs.select(key, described(F.col(text_column), None, shingle).alias("s")).select(id_column, F.col("s.n").alias("n_shingles"), F.col("s.node").alias("node")))
-    found = least_labels(links(prefixed_sets(docs, text_column, shingle, percent), percent))
+    found = linked_sets(prefixed_sets(docs, text_column, shingle, percent), percent)
     classes = held.filter(F.col("n_shingles") > 0).groupBy("node").agg(F.min(id_column).alias("class_id"))
     linked = classes.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = linked.groupBy("label").agg(F.min("class_id").alias("component_id"))
