@@ -75,8 +75,8 @@ def license_matches(text: Column, templates: list[tuple[str, str]] | None = None
         raise ValueError("a template of two words or more is needed")
     low, high = min(k[2] for k in known), max(k[3] for k in known)
     literal = F.array(*(F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, pairs)).alias("pairs"), F.lit(a).alias("low"), F.lit(b).alias("high")) for name, pairs, a, b in known))
-    # A unit of n distinct pairs has more than n words; only the upper bound on pairs needs them counted.
-    words = F.filter(F.transform(units(text), lambda u: F.split(u, " ")), lambda w: F.size(w) > low)
+    # A unit of n distinct pairs has more than n words, and at most n + 1 distinct ones; so most units never get their pairs.
+    words = F.filter(F.transform(units(text), lambda u: F.split(u, " ")), lambda w: (F.size(w) > low) & (F.size(F.array_distinct(w)) <= high + 1))
     pairs = F.transform(words, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))))
     fitting = F.filter(pairs, lambda p: F.size(p).between(low, high))
 
