@@ -248,6 +248,19 @@ def test_language_model_base(spark, odd, none, head):
         assert {r["train_tokens"] for r in blind} == {0} and {r["n_known"] for r in blind} == {0} and all(math.isfinite(r["score"]) for r in blind)
 
 
+def test_language_model_trains_on_every_window(spark, odd):
+    v = bpe.load(spark, bpe.word_vocabulary())
+    rows = attention_lm.gathered(odd, v).collect()
+    counts, seen, ends = Counter(), Counter(), 0
+    for r in rows:
+        if r["ids"] is None:
+            counts[r["id"]] += r["n"]
+        else:
+            seen.update(i for i in r["ids"][1:] if i >= 0)
+            ends += r["ids"][-1] == -2
+    assert seen == counts and ends == odd.count()
+
+
 def test_language_model_query(spark):
     rows = catalog.QUERIES["op10_lm_scoring"](spark, "/root/testdata/sf0.01").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0) for r in rows)
