@@ -6,8 +6,8 @@ whole text (letters only, lower case, in the order they come), in chunks, so tha
 and repetition does not hide it.
 
 Learning reads a bounded sample: at most ``SAMPLE_TEXTS`` texts a language, of ``SAMPLE_BYTES`` bytes each, cut to a dictionary
-of ``DICTIONARY_BYTES``. Texts that fit whole are preferred. The sample goes by a hash of the text and grows no further with
-the data; more than ``MOST_LANGUAGES`` labels are an error. Prediction is local to a row: no shuffle.
+of ``DICTIONARY_BYTES``. Texts that fit whole are preferred. The sample goes by a hash of the text, in which copies are one, and grows
+no further with the data. More than ``MOST_LANGUAGES`` labels are an error. Prediction is local to a row: no shuffle.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is every text if nothing was labelled. Equal
 sizes go to the language with more labelled texts, then the first by name, with score 0. The score is 1 - least size / second size; with one language it is 1.
@@ -55,18 +55,21 @@ def learn(docs: DataFrame, text_column: str = "text", label_column: str = "lang"
     """For each label of ``docs`` the number of its texts and a dictionary."""
     text, label = F.col(text_column), F.col(label_column)
     rows = docs.filter(label.isNotNull() & text.isNotNull()).select(label.alias("label"), text.alias("text"))
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
+    # Copies of a text are one: they must neither lower the share of the others nor fill the sample.
+    distinct = rows.groupBy("label", F.xxhash64("text").alias("draw")).agg(F.count("*").alias("n"))
+    held = distinct.groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).limit(MOST_LANGUAGES + 1).collect()
+    if len(held) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled")
-    if not counts:
+    if not held:
         return {}
+    counts = {r["label"]: r["n"] for r in held}
     # About four times the texts needed pass; ranking then sees few rows.
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4.0 * SAMPLE_TEXTS / n))))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = rows.filter(draw < share[F.col("label")]).withColumn("draw", F.xxhash64("text"))
-    order = Window.partitionBy("label").orderBy(F.octet_length("text") > SAMPLE_BYTES, "draw", "text")
-    sample = drawn.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= SAMPLE_TEXTS)
-    cut = sample.select("label", "at", F.substring(F.encode("text", "UTF-8"), 1, SAMPLE_BYTES).alias("bytes"))
+    share = F.create_map(*(F.lit(x) for r in held for x in (r["label"], min(1.0, 4.0 * SAMPLE_TEXTS / r["distinct"]))))
+    drawn = rows.withColumn("draw", F.xxhash64("text")).filter(F.pmod("draw", F.lit(1 << 30)) / F.lit(float(1 << 30)) < share[F.col("label")])
+    cut = F.struct((F.octet_length("text") > SAMPLE_BYTES).alias("long"), F.substring(F.encode("text", "UTF-8"), 1, SAMPLE_BYTES).alias("bytes"))
+    once = drawn.groupBy("label", "draw").agg(F.min(cut).alias("cut")).select("label", "draw", "cut.*")
+    order = Window.partitionBy("label").orderBy("long", "draw")
+    cut = once.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= SAMPLE_TEXTS).select("label", "at", "bytes")
     found: dict[str, list[bytes]] = {}
     for r in sorted(cut.collect(), key=lambda r: (r["label"], r["at"])):
         found.setdefault(r["label"], []).append(words(bytes(r["bytes"]).decode("utf-8", "ignore")))

@@ -17,7 +17,7 @@ from logloom.llm import bpe, catalog, html_text, langid, licenses, repetition
 from tools.check import compare
 
 from ..conftest import DATA
-from .conftest import by_id
+from .conftest import by_id, prose
 
 
 def page(html):
@@ -161,6 +161,19 @@ def test_language_odd_input(spark, odd, none):
     assert {(r["lang_pred"], r["score"]) for r in one} == {("und", 0.0), ("en", 1.0)}
 
 
+def test_language_of_many_copies(spark):
+    """Copies neither starve the other texts of their language nor fill its sample."""
+    single = [" ".join(prose(1000 + k, 12)) for k in range(300)]
+    rows = spark.range(300).selectExpr("element_at(array(" + ", ".join(f"'{t}'" for t in single) + "), int(id) + 1) as text", "'many' as lang")
+    copies = spark.range(60000).selectExpr("concat('same text number ', id % 3) as text", "'many' as lang")
+    few = spark.range(100000).selectExpr("concat('copied ', substr('abcdefghijklmnopqrst', int(id % 20) + 1, 1)) as text", "'few' as lang")
+    learned = langid.learn(rows.unionByName(copies).unionByName(few))
+    assert {k: v.texts for k, v in learned.items()} == {"many": 60300, "few": 100000}
+    held = learned["many"].dictionary.decode()
+    assert sum(t.split()[0] in held and langid.words(t).decode() in held for t in single) >= langid.SAMPLE_TEXTS - 3
+    assert learned["few"].dictionary.decode().count("copied") == 20
+
+
 def _plain_rules(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     triples = Counter(tuple(words[i: i + 3]) for i in range(len(words) - 2))
