@@ -213,3 +213,19 @@ def test_license_scan(spark, odd, none):
     found = by_id(licenses.scan_licenses(rows).collect(), "licenses", "n_units")
     assert {k: v[0][0] for k, v in found.items()} == {1: "MIT", 2: "", 3: "", 4: "Apache-2.0", 5: "", 6: "CC-BY-4.0", 7: "", 8: "MIT"}
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(none).count() == 0
+
+
+def test_license_headers_and_texts(spark):
+    gpl = "This {} is free software{} you can redistribute it and/or modify it\nunder the terms of the GNU {}General Public License as published by\nthe Free Software Foundation{} either version {} of the License, or\n(at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice.\n\n2. Redistributions in binary form must reproduce the above copyright notice.\n"
+    cases = [
+        (gpl.format("program", ";", "", ";", "2"), "GPL-2.0"), (gpl.format("program", ":", "", ",", "3"), "GPL-3.0"),
+        (gpl.format("program", ":", "Affero ", ",", "3"), "AGPL-3.0"), (gpl.format("library", ":", "Lesser ", ",", "3"), "LGPL-3.0"),
+        (bsd, "BSD-2-Clause"), (bsd + "\n3. Neither the name of the owner may be used.\n", "BSD-3-Clause"),
+        ("Some words stand first. Released under the MIT License. More words follow here, and some more.", "MIT"),
+        ("Some words stand first; a notice then: Licensed under CC BY-SA 4.0; more words follow here, and some more.", "CC-BY-SA-4.0"),
+        ("Some words stand first. " + gpl.format("program", ";", "", ";", "2") + " More words follow.\nAnd some more.", "GPL-2.0"),
+        *((f"Some title\n\n{t}\n\nsome end", name) for name, t in licenses.full_texts() if name in ("LGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MIT", "Apache-2.0"))]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    found = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(rows).collect()}
+    assert found == {i: name for i, (_, name) in enumerate(cases)}
