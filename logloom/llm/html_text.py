@@ -2,7 +2,7 @@
 
 A tree builder reads the tags, supplies those that HTML implies (ends of paragraphs, list items, rows and cells, missing table bodies
 and rows, the end of the head) and moves text that stands loose in a table before it. Visibility rules then drop what a
-browser does not show. The renderer keeps block spacing, list markers with their indent, preformatted text, and tables with
+browser does not show; of SVG it shows the text elements, each on lines of its own, and of MathML all but annotations. The renderer keeps block spacing, list markers with their indent, preformatted text, and tables with
 aligned cells. Both walk the tree without recursion, so depth is not limited.
 
 The work is local to a row: no shuffle; memory is bounded by a page.
@@ -30,7 +30,14 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 RAW = {"script", "style", "xmp", "iframe", "noembed", "noframes"}
 ESCAPABLE = {"textarea", "title"}
 IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "noscript", "script", "style", "template", "title"}
-NEVER_SHOWN = {"head", "script", "style", "template", "noscript", "noembed", "noframes", "iframe", "object", "audio", "video", "canvas", "datalist", "rp", "svg", "math", "title"}
+NEVER_SHOWN = {"head", "script", "style", "template", "noscript", "noembed", "noframes", "iframe", "object", "audio", "video", "canvas", "datalist", "rp", "title"}
+# Elements of SVG and MathML: what is not drawn, and what holds HTML.
+FOREIGN = {"svg", "math"}
+NOT_DRAWN = {
+    "svg": {"defs", "symbol", "metadata", "desc", "title", "clippath", "mask", "marker", "pattern", "lineargradient", "radialgradient"},
+    "math": {"annotation", "annotation-xml", "mphantom"},
+}
+HOLDS_HTML = {"foreignobject", "desc", "title", "annotation-xml"}
 SPACED = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "menu", "dir", "table", "blockquote", "pre", "figure", "fieldset", "hr", "listing", "xmp"}
 BLOCKS = SPACED | {"address", "article", "aside", "body", "caption", "center", "dd", "details", "dialog", "div", "dt", "figcaption", "footer", "form", "header", "hgroup", "html", "legend", "li", "main", "nav", "option", "search", "section", "summary", "tr"}
 ENDS_PARAGRAPH = BLOCKS - {"body", "html", "caption", "tr", "legend", "option", "table"} | {"table"}
@@ -55,11 +62,14 @@ _VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 
 class Node:
-    __slots__ = ("name", "attributes", "children", "parent")
+    __slots__ = ("name", "attributes", "children", "parent", "space")
 
     def __init__(self, name: str, attributes: str = "", parent: Node | None = None):
         self.name, self.attributes, self.parent = name, attributes, parent
         self.children: list[Node | str] = []
+        # "math", "svg", "svg text" (inside a text element) or "" for HTML
+        above = "" if parent is None or parent.name in HOLDS_HTML else parent.space
+        self.space = name if name in FOREIGN else "svg text" if above == "svg" and name == "text" else above
 
     def attribute(self, name: str) -> str | None:
         for m in _ATTRIBUTE.finditer(self.attributes):
@@ -104,6 +114,16 @@ class Builder:
         if name not in VOID:
             self.push(node)
 
+    def empty(self, name: str, attributes: str) -> bool:
+        """Add an element of SVG or MathML that ends itself."""
+        at = self.open[-1]
+        if not attributes.endswith("/") or Node(name, "", at).space == "":
+            return False
+        if name in FOREIGN:
+            self.leave_head()
+        self.open[-1].children.append(Node(name, attributes, self.open[-1]))
+        return True
+
     def leave_head(self) -> None:
         if len(self.open) > 1 and self.open[1].name == "head":
             self.end_to(1)
@@ -198,6 +218,8 @@ def parse(html: str) -> Node:
             if m[1]:
                 b.end(name)
                 continue
+            if b.empty(name, m[3]):
+                continue
             b.start(name, m[3])
             if name in RAW or name in ESCAPABLE:
                 stop = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
@@ -326,7 +348,7 @@ class Grid:
 
 def shown(node: Node) -> bool:
     name = node.name
-    if name in NEVER_SHOWN:
+    if name in NEVER_SHOWN or node.space and name in NOT_DRAWN[node.space.split()[0]]:
         return False
     if not node.attributes:
         return name != "dialog"
@@ -334,6 +356,8 @@ def shown(node: Node) -> bool:
         return False
     if name == "dialog" and node.attribute("open") is None:
         return False
+    if node.space and (node.attribute("display") or "").strip().lower() == "none":
+        return False
     return not _HIDDEN_STYLE.search(node.attribute("style") or "")
 
 
@@ -355,7 +379,7 @@ def render(root: Node) -> str:
         if entering:
             if not shown(item):
                 continue
-            found = _VISIBILITY.search(item.attribute("style") or "") if item.attributes else None
+            found = _VISIBILITY.search((item.attribute("style") or "") + (f";visibility:{item.attribute('visibility')}" if item.space else "")) if item.attributes else None
             visible = found[1].lower() == "visible" if found else visible
             if name == "br":
                 out.line(keep=True)
@@ -367,7 +391,8 @@ def render(root: Node) -> str:
                 if visible and (item.attribute("type") or "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel", "number"):
                     out.words(" " + (item.attribute("value") or "") + " ")
                 continue
-            if name in BLOCKS and name not in ("tr", "option"):
+            apart = name == "text" and item.space == "svg text" or name == "mtr" and item.space == "math"
+            if apart or name in BLOCKS and name not in ("tr", "option"):
                 (out.gap if name in SPACED and not (name in LISTS and lists) else out.line)()
             if name in LISTS:
                 step = -1 if item.attribute("reversed") is not None else 1
@@ -396,10 +421,14 @@ def render(root: Node) -> str:
                 lists.append(["ul", 1, 1])
             elif name == "q":
                 out.words('"')
+            elif name == "mtd" and item.space:
+                out.words(" ")
             stack.append((item, False, visible))
             children: list[Node | str] = item.children
             if name == "details" and item.attribute("open") is None:
                 children = [c for c in children if isinstance(c, Node) and c.name == "summary"][:1]
+            if item.space == "svg" and name not in HOLDS_HTML:
+                children = [c for c in children if isinstance(c, Node)]
             stack += [(c, True, visible) for c in reversed(children)]
             continue
         if name in ("td", "th") and grids:
@@ -416,7 +445,7 @@ def render(root: Node) -> str:
             pre -= 1
         if name == "q":
             out.now.append('"')
-        if name in BLOCKS and name != "tr":
+        if name in BLOCKS and name != "tr" or name == "text" and item.space == "svg text" or name == "mtr" and item.space == "math":
             (out.gap if name in SPACED and not (name in LISTS and len(lists) > 1) else out.line)()
         if name in LISTS:
             lists.pop()

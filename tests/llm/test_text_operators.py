@@ -39,6 +39,19 @@ def test_html_cases(html, text):
     assert page(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<p>so <math><mi>x</mi><mo>=</mo><mspace/><mn>2</mn></math> holds</p>", "so x=2 holds"),
+    ("<math><semantics><mi>y</mi><annotation encoding='application/x-tex'>\\y</annotation></semantics></math>z", "yz"),
+    ("<math><mtable><mtr><mtd>a</mtd><mtd>b</mtd></mtr><mtr><mtd>c</mtd></mtr></mtable></math>", "a b\nc"),
+    ("a<svg viewBox='0 0 1 1'><title>t</title><desc>d</desc><defs/><g>loose<path d='M0'/><text x='1'>one <tspan>two</tspan></text><text>three</text></g></svg>b", "a\none two\nthree\nb"),
+    ("<svg><defs><text>x</text></defs><symbol><text>y</text></symbol><metadata>m</metadata><style>s</style><text display='none'>n</text><text>shown</text></svg>", "shown"),
+    ("<svg><foreignObject><p>html</p></foreignObject></svg>", "html"), ("<svg/>a<text>b</text><desc>c</desc>", "abc"),
+    ("<table><tr><td><svg><circle r='1'/><text>a</text></svg><td>b</table>", "a  b"),
+])
+def test_html_formulas_and_drawings(html, text):
+    assert page(html) == text
+
+
 class _Plain(HTMLParser):
     def __init__(self):
         super().__init__()
