@@ -13,6 +13,9 @@ With tokens ordered by rarity that prefix meets few other documents.
 4. *Rest.* What the verified links connect already needs no more comparison. All other pairs that share a prefix token, expanded to
    members, pass the size and position filters and are verified; so no link between separate components is missed.
 
+``similar_documents`` gives the components, ``similar_pairs`` every link: pairs of groups are filtered, expanded and verified, those inside a
+component too.
+
 Links are verified on whole sets. Copies are never expanded into pairs. Sets are known by 64-bit hashes of their tokens and of the whole.
 
 Defined results: null and empty texts have no tokens and are components of their own. Texts of fewer words than a shingle have
@@ -143,6 +146,19 @@ def _least_overlap(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-9))
 
 
+def _fits(a: str, b: str, percent: int) -> Column:
+    """Sizes and places of a shared token let the sets be linked."""
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    left = F.least(n_a - F.col(f"{a}.place"), n_b - F.col(f"{b}.place"))
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (left >= _least_overlap(n_a, n_b, percent))
+
+
+def _spots(rows: DataFrame, node: str) -> DataFrame:
+    """A row for each prefix token of a set, with its place."""
+    more = ["members"] if "members" in rows.columns else []
+    return rows.select(F.col(node).alias("node"), "n", "alone", *more, F.posexplode("prefix").alias("at", "token")).withColumn("place", F.col("at") + F.col("alone"))
+
+
 def prefixed_sets(docs: DataFrame, text_column: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Distinct sets that may have links: ``node``, ``n``, ``alone`` (tokens no other set has), ``tokens`` (the others by rarity), ``prefix``."""
     text = F.col(text_column)
@@ -171,32 +187,26 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     groups = cut(groups)
     inside = sets.join(groups, ["n", "alone", "prefix"]).filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b"))
 
-    def fits(a: str, b: str) -> Column:
-        n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
-        left = F.least(n_a - F.col(f"{a}.place"), n_b - F.col(f"{b}.place"))
-        return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (left >= _least_overlap(n_a, n_b, percent))
-
-    at = lambda rows, node: rows.select(F.col(node).alias("node"), "n", "alone", *(["members"] if "members" in rows.columns else []), F.posexplode("prefix").alias("at", "token")).withColumn("place", F.col("at") + F.col("alone"))
-    spots = at(groups, "leader")
+    spots = _spots(groups, "leader")
     # Two hubs a token: the set with the least share of tokens of its own, and the leader of most members. Of the hubs that a leader's
     # tokens offer it takes two, so links grow with the sets; what they leave apart is the rest's.
     one = F.struct("node", "n", "place", (F.col("alone") / F.col("n")).alias("own"))
     hubs = spots.groupBy("token").agg(F.min_by(one, F.struct(F.col("alone") / F.col("n"), F.col("node"))).alias("plain"), F.max_by(one, F.struct("members", "node")).alias("large"), F.count("*").alias("found"))
     hubs = hubs.filter(F.col("found") > 1).select("token", "found", F.explode(F.array_distinct(F.array("plain", "large"))).alias("hub"))
-    across = spots.select("token", F.struct("node", "n", "place").alias("spot")).join(hubs, "token").filter((F.col("hub.node") != F.col("spot.node")) & fits("hub", "spot"))
+    across = spots.select("token", F.struct("node", "n", "place").alias("spot")).join(hubs, "token").filter((F.col("hub.node") != F.col("spot.node")) & _fits("hub", "spot", percent))
     across = across.groupBy(F.col("spot.node").alias("node")).agg(F.min_by("hub.node", F.struct("hub.own", "hub.node")).alias("plain"), F.max_by("hub.node", F.struct("found", "hub.node")).alias("common"))
     across = across.select("node", F.explode(F.array_distinct(F.array("plain", "common"))).alias("hub")).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
     first = verified(inside.unionByName(across).distinct(), sets, percent)
 
     known = least_labels(first)
-    members = at(sets.select("node", "n", "alone", "prefix"), "node").join(known, "node", "left").select("token", "node", "n", "place", F.coalesce("label", "node").alias("label"))
+    members = _spots(sets.select("node", "n", "alone", "prefix"), "node").join(known, "node", "left").select("token", "node", "n", "place", F.coalesce("label", "node").alias("label"))
     members = cut(members)
     sizes = members.groupBy("token", "label").agg(F.count("*").alias("found"))
     main = sizes.groupBy("token").agg(F.max_by("label", F.struct("found", "label")).alias("main"), F.count("*").alias("labels")).filter(F.col("labels") > 1).select("token", "main")
     mixed_tokens = members.join(main, "token")
     few = mixed_tokens.filter(F.col("label") != F.col("main")).select("token", F.struct("node", "n", "place", "label").alias("x"))
     every = mixed_tokens.select("token", F.struct("node", "n", "place", "label").alias("y"))
-    rest = few.join(every, "token").filter((F.col("x.label") != F.col("y.label")) & fits("x", "y"))
+    rest = few.join(every, "token").filter((F.col("x.label") != F.col("y.label")) & _fits("x", "y", percent))
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     # What the rest connects are components already, so their labels take the place of the sets.
     late = verified(rest, sets, percent)
@@ -221,6 +231,30 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     return rows.select(id_column, "n_shingles", F.when(own, key).otherwise(F.col("class_id")).alias("class_id"), F.when(own, key).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def linked_pairs(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Every similar pair of distinct sets (``a`` < ``b``): pairs of groups that share a prefix token are filtered by size and place,
+    expanded to their members and verified."""
+    groups = cut(sets.groupBy("n", "alone", "prefix").agg(F.min("node").alias("leader"), F.count("*").alias("members")))
+    members = cut(sets.join(groups, ["n", "alone", "prefix"]).select("leader", "node"))
+    spots = _spots(groups, "leader")
+    side = lambda x: spots.select("token", F.struct("node", "n", "place", "members").alias(x))
+    near = side("x").join(side("y"), "token").filter((F.col("x.node") <= F.col("y.node")) & _fits("x", "y", percent))
+    near = near.filter((F.col("x.node") != F.col("y.node")) | (F.col("x.members") > 1)).select(F.col("x.node").alias("g"), F.col("y.node").alias("h")).distinct()
+    of = lambda group, x: members.select(F.col("leader").alias(group), F.col("node").alias(x))
+    pairs = near.join(of("g", "x"), "g").join(of("h", "y"), "h").filter((F.col("g") != F.col("h")) | (F.col("x") < F.col("y")))
+    return verified(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), sets, percent)
+
+
+def similar_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per link of two distinct sets: ``class_a`` < ``class_b``, their least keys. Copies are not linked here, they share a class.
+    The rows grow with the links, of which a large group of near copies has the square of its sets."""
+    held = docs.select(F.col(id_column).alias("id"), described(F.col(text_column), None, shingle).alias("s")).filter(F.col("s.n") > 0)
+    classes = cut(held.groupBy(F.col("s.node").alias("node")).agg(F.min("id").alias("class_id")))
+    of = lambda x: classes.select(F.col("node").alias(x), F.col("class_id").alias(f"class_{x}"))
+    links = linked_pairs(prefixed_sets(docs, text_column, shingle, percent), percent).join(of("a"), "a").join(of("b"), "b")
+    return links.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"))
+
+
 # The query in SQL: shingles as text, all pairs that share one, and reachability.
 OP8_SQL = rf"""
 with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
@@ -244,4 +278,10 @@ def op8_ngram_jaccard(spark: SparkSession, directory: str) -> DataFrame:
     return similar_documents(table(spark, directory, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+@query("op8_similar_pairs")
+def op8_similar_pairs(spark: SparkSession, directory: str) -> DataFrame:
+    """Every pair of similar classes of documents."""
+    return similar_pairs(table(spark, directory, "documents"))
+
+
 ship_by_value(__name__)

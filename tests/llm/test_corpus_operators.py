@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -151,6 +152,24 @@ def test_similar_documents_query(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in catalog.QUERIES["op8_ngram_jaccard"](spark, DATA).collect()) == plain
 
 
+def test_similar_pairs(spark, odd, none):
+    """Every link is given, also between sets that others connect already."""
+    base = prose(11, 200)
+    rows = [(100 + k, " ".join([*base[:3 * k], f"edit{k}", *base[3 * k + 1:]]), "en") for k in range(20)]
+    rows += [(300 + k, " ".join(base[6 * k:] + prose(500 + k, 2 * k)), "en") for k in range(1, 15)] + [(400 + k, " ".join(base), "en") for k in range(3)]
+    docs = documents(spark, rows).unionByName(odd)
+    least = {}
+    for r in docs.collect():
+        w = blank_words(r["text"])
+        s = frozenset(tuple(w[i: i + 5]) for i in range(max(1, len(w) - 4))) if w else None
+        if s and r["doc_id"] is not None:
+            least[s] = min(least.get(s, r["doc_id"]), r["doc_id"])
+    plain = sorted(tuple(sorted((i, j))) for (s, i), (t, j) in combinations(least.items(), 2) if 100 * len(s & t) >= 80 * len(s | t))
+    found = sorted((r["class_a"], r["class_b"]) for r in jaccard.similar_pairs(docs).collect())
+    assert found == plain and len(found) > 30
+    assert jaccard.similar_pairs(none).count() == 0
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(5, 7), (9, 7)], "a long, b long")
     labels = {r["node"]: r["label"] for r in components.least_labels(edges).collect()}
