@@ -5,7 +5,7 @@ read again as the next one's ``docs``. All but the last return the columns of ``
 
 1. ``language_id`` drops documents whose language is not clear (no letter, or two languages nearly as likely).
 2. ``ngram_jaccard`` keeps one document of each group of similar ones: the one of the least id (null first).
-3. ``decontamination`` drops documents that hold a window of a benchmark item; items of fewer than ``LEAST_WINDOW`` words are no evidence.
+3. ``decontamination`` drops documents that hold a window of a benchmark item, as the operator's ``contaminated`` says; a shorter item is one window.
 4. ``secrets`` writes a mark in place of every secret; no document goes.
 5. ``bpe`` turns texts into ids.
 
@@ -22,7 +22,6 @@ from logloom.llm import bpe, decontaminate, jaccard, langid, secret_scan
 from logloom.llm.registry import bound_batches, table
 from logloom.llm.shared import shared_folder
 
-LEAST_WINDOW = 5
 ORACLE_SQL = None
 
 
@@ -63,7 +62,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     content = unused(docs, "_content")
     _, found, _ = decontaminate.occurrences(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    held = found.filter(F.col("n") >= LEAST_WINDOW).select(F.col("content").alias(content)).distinct()
+    held = found.select(F.col("content").alias(content)).distinct()
     return docs.withColumn(content, F.sha2(F.coalesce("text", F.lit("")), 256)).join(held, content, "left_anti").select(*docs.columns)
 
 

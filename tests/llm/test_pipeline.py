@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from logloom.llm import bpe
+from logloom.llm import bpe, decontaminate
 
 from ..conftest import DATA
 from .conftest import documents
@@ -44,6 +44,16 @@ def test_stages(spark):
     assert last == {i: library.encode(t, add_special_tokens=False).ids for i, t in after.items()}
 
 
+def test_short_benchmark_items(spark, tmp_path):
+    """Documents that the operator marks go, also those that hold an item of few words."""
+    items = spark.createDataFrame([(1, "answer"), (2, "three short words"), (3, " ".join(f"w{i}" for i in range(15)))], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = documents(spark, [(1, "the answer is here", "en"), (2, "of three short words only", "en"), (3, "short words three", "en"), (4, " ".join(f"w{i}" for i in range(12)), "en"), (5, None, "en")])
+    assert sorted(r[0] for r in rows_of(STAGE["decontamination"](spark, docs, str(tmp_path)))) == [3, 5]
+    marked = decontaminate.decontaminate(docs, items)
+    assert sorted(r["doc_id"] for r in marked.filter("contaminated").collect()) == [1, 2, 4]
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, DATA)
     assert rows.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256"] and rows.count() > 0
