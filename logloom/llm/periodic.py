@@ -209,10 +209,11 @@ def planted(key: Column, text: Column) -> Column:
     g = F.floor(h / 10)
     words = F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
     n = F.size(words)
-    a = g % n
-    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
-    at = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
-    return F.when((h % 10 == 0) & F.regexp_like(text, F.lit(WORDS)), F.array_join(F.transform(at, lambda i: F.get(words, i)), " ")).otherwise(text)
+    a = (g % n).cast("int")
+    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8)).cast("int")
+    # Whole periods side by side, cut to the words the text had: the words are found a fixed number of times, not once per word.
+    tail = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    return F.when((h % 10 == 0) & F.regexp_like(text, F.lit(WORDS)), F.array_join(F.slice(F.concat(F.slice(words, F.lit(1), a), tail), F.lit(1), n), " ")).otherwise(text)
 
 
 @query("op12_periodic_runs")
