@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.llm import catalog, periodic, prefix_trie
+from logloom.llm import bpe, catalog, packing, periodic, prefix_trie
 from logloom.llm.flat import Hasher
 from tools.check import compare
 
@@ -186,3 +186,108 @@ def test_trie_of_nothing_and_long_conversations(spark):
 def test_trie_sql(spark):
     status, _, note = compare(spark, "op13_prefix_trie", catalog.QUERIES["op13_prefix_trie"], catalog.SQL["op13_prefix_trie"], DATA)
     assert status == "ok", note
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_deficits_are_carried(seed):
+    r = random.Random(seed)
+    stock = [r.choice([0, 1, 7, 1000, 50_000]) for _ in range(r.randint(1, 7))]
+    sizes = [64] * (sum(stock) // 64) + [sum(stock) % 64]
+    dealt = packing.deal(stock, stock, sizes)
+    assert [sum(x) for x in dealt] == sizes and [sum(x) for x in zip(*dealt, strict=True)] == stock
+    total, so_far = sum(stock), [0] * len(stock)
+    for k, row in enumerate(dealt[:-1], 1):
+        so_far = [a + n for a, n in zip(so_far, row, strict=True)]
+        assert all(abs(a * total - 64 * k * n) < 2 * total for a, n in zip(so_far, stock, strict=True))
+
+
+def test_targets_hold_until_a_queue_is_dry():
+    dealt = packing.deal([3000, 3000, 500], [3, 1, 0], [64] * 101 + [36])
+    assert all(x == [48, 16, 0] for x in dealt[:62])
+    assert all(x[0] + x[1] == 64 for x in dealt[:93]) and sum(x[2] for x in dealt) == 500
+    assert dealt[70] == [0, 64, 0]
+
+
+@pytest.mark.parametrize("totals, weights", [([5], [5]), ([300, 20, 7], [300, 20, 7]), ([70_000, 9000, 123, 1], [70_000, 9000, 123, 1]), ([60_000, 60_000], [9, 1]), ([64], [64])])
+def test_schedule_places_every_id_once(totals, weights):
+    window = 16
+    plan, far = packing.Schedule(totals, weights, window), packing.Schedule(totals, weights, window)
+    taken, lengths, held = {}, {}, {}
+    for q, n in enumerate(totals):
+        for p in range(n):
+            w, at, room, length = plan.place(q, p)
+            assert (w, at) not in taken and room > 0
+            taken[w, at], lengths[w] = q, length
+            held.setdefault(w, [0] * len(totals))[q] += 1
+    for q, n in enumerate(totals):
+        for p in random.Random(1).sample(range(n), min(n, 50)):
+            assert taken[far.place(q, p)[:2]] == q
+    assert len(taken) == sum(totals) and sorted(lengths) == list(range(len(lengths)))
+    for w, length in lengths.items():
+        assert all((w, i) in taken for i in range(length)) and (length == window or length & (length - 1) == 0)
+    if totals == weights:
+        for w in range(sum(totals) // window):
+            assert all(abs(n - window * t / sum(totals)) < 3 for n, t in zip(held[w], totals, strict=True))
+
+
+def plain_pack_check(rows, pieces, tokenizer, window=4096):
+    """Every id of every document in one piece, windows gapless, ids as the library gives them."""
+    from collections import Counter
+    whole = Counter()
+    for i, t, *_ in rows:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        whole[i, tuple(ids)] += 1
+    by_window, by_doc = {}, {}
+    for p in pieces:
+        by_window.setdefault(p["sequence_id"], []).append(p)
+        by_doc.setdefault(p["doc_id"], []).append(p)
+    assert sorted(by_window) == list(range(len(by_window)))
+    for members in by_window.values():
+        at = 0
+        for p in sorted(members, key=lambda p: p["offset"]):
+            assert p["offset"] == at and p["length"] > 0
+            at += p["length"]
+        assert at == members[0]["sequence_length"] and (at == window or at & (at - 1) == 0 and at < window)
+    found = Counter()
+    for (i, ids), n in whole.items():
+        cuts = Counter((p["start"], p["length"], p["ids_crc32"]) for p in by_doc.pop(i) if p["doc_tokens"] == len(ids)) if i in by_doc else Counter()
+        if n == 1:
+            end = 0
+            for start, length, crc in sorted(cuts):
+                assert start == end and crc == zlib.crc32(np.array(ids[start: start + length], "<u4").tobytes())
+                end += length
+            assert end == len(ids)
+        found[i, ids] += n
+    assert found == whole and not by_doc
+    return by_window
+
+
+def test_op11_matches_the_library(spark, tmp_path, odd):
+    from tokenizers import Tokenizer
+    rows = [(i, " ".join(prose(i, 10 + 7 * i)), "en", f"src{i % 4 if i % 2 else 0}") for i in range(80)] + [(200 + i, t, "en", s) for i, (t, s) in enumerate([(None, None), ("", "a"), ("x é 😀 12", "b")])]
+    spark.createDataFrame([(i, t, x, s, 0, 1, 2) for i, t, x, s in rows], "doc_id long, text string, lang string, source string, part int, ids int, queue int").repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer = Tokenizer.from_file(bpe.word_vocabulary())
+    tokenizer.no_padding()
+    tokenizer.no_truncation()
+    windows = plain_pack_check(rows, catalog.QUERIES["op11_packing"](spark, str(tmp_path)).collect(), tokenizer)
+    assert len(windows) > 3
+    small = packing.pack(spark.read.parquet(f"{tmp_path}/documents.parquet"), bpe.load(spark, bpe.word_vocabulary()), window=128, targets={"src0": 1, "src1": 3})
+    plain_pack_check(rows, small.collect(), tokenizer, 128)
+
+
+def test_packing_of_odd_rows(spark, odd, none):
+    vocabulary = bpe.load(spark, bpe.word_vocabulary())
+    assert packing.pack(none, vocabulary).collect() == []
+    pieces = packing.pack(odd, vocabulary, window=64).collect()
+    assert sum(p["length"] for p in pieces if p["doc_id"] == 6) == 2 * next(p["doc_tokens"] for p in pieces if p["doc_id"] == 6)
+    assert sum(p["length"] for p in pieces if p["doc_id"] is None) == next(p["doc_tokens"] for p in pieces if p["doc_id"] is None)
+    assert {p["doc_id"]: p["doc_tokens"] for p in pieces}[1] == 1
+
+
+def test_more_sources_than_queues(spark, monkeypatch):
+    monkeypatch.setattr(packing, "QUEUES", 3)
+    rows = [(i, "some words here", "en", f"s{i % 7}") for i in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    pieces = packing.pack(docs, bpe.load(spark, bpe.word_vocabulary()), window=16).collect()
+    assert sum(p["length"] for p in pieces) == sum({p["doc_id"]: p["doc_tokens"] for p in pieces}.values())
+    assert len({(p["sequence_id"], p["offset"]) for p in pieces}) == len(pieces)
