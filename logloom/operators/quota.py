@@ -2,10 +2,13 @@
 
 A window opens at the first hit of a key and lasts ``window_ms``; the next hit at or
 after its end opens the next one. The chain of openings is sequential, so it is cut
-into time segments that are solved independently for every way they can be entered
-(phase 1), chained through a few rows per segment (phase 2) and resolved (phase 3).
-Hits are first reduced to one row per key and millisecond, which bounds every segment
-no matter how many hits a key has.
+into time segments. A segment is a step function from the end of the window that is open
+when it begins to the end of the one that is open when it ends (phase 1). Functions are
+composed in levels, ``FAN`` neighbours to a block, and the ends handed down again from
+blocks to their members (phase 2, a parallel prefix); then every segment is resolved on its
+own (phase 3). Hits are first reduced to one row per key and millisecond, which bounds every
+segment no matter how many hits a key has. Where no key has more than ``STEPS`` steps, all its
+functions are one block.
 
 Inside a window a hit is judged by the charges before it, and charges are at least 1,
 so whole milliseconds are accepted or refused at once. Only the one millisecond in
@@ -35,6 +38,11 @@ BUDGETS = {
 
 # Bounds a segment at 1.8 million milliseconds, one row each.
 SEGMENT_MS = 1_800_000
+# Segments or blocks that make a block of the next level, and the steps of a key that need no levels.
+FAN = 256
+STEPS = 500_000
+# Before any time: no window is open.
+NEVER = -(1 << 62)
 
 
 def _groups(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[list[np.ndarray]]:
@@ -63,74 +71,121 @@ def _groups(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[lis
         yield joined()
 
 
+class _Rows:
+    """Output columns gathered into frames of even size."""
+
+    def __init__(self, names: tuple[str, ...], most: int = 50_000):
+        self.names, self.most, self.parts, self.size = names, most, [], 0
+
+    def add(self, *columns: np.ndarray) -> Iterator[pd.DataFrame]:
+        self.parts.append(columns)
+        self.size += len(columns[0])
+        if self.size >= self.most:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pd.DataFrame]:
+        if self.parts:
+            yield pd.DataFrame({c: np.concatenate(v) for c, v in zip(self.names, zip(*self.parts))})
+        self.parts, self.size = [], 0
+
+
+def _distinct(until: np.ndarray, end: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """A step function without needless steps, as far as it can be entered: before ``limit``."""
+    n = int(np.searchsorted(until, limit, "left")) + 1
+    until, end = until[:n], end[:n]
+    last = np.append(end[1:] != end[:-1], True)
+    return until[last], end[last]
+
+
 def _entries(window_ms: int, segment_ms: int):
-    """Phase 1: exit time of a segment for every first opening it can have, as runs of equal exits."""
+    """Phase 1: a segment's step function. A window that ends by ``until``, and after the step before, is followed by others until one ends at ``exit``;
+    a window that ends behind the last step outlives the segment."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, segs, untils, exits = [], [], [], []
-        for group_keys, group_segs, hits in _groups(batches, ["key", "seg", "ms"]):
-            if len(keys) >= 50_000:
-                yield pd.DataFrame({"key": keys, "seg": segs, "until": untils, "exit": exits})
-                keys, segs, untils, exits = [], [], [], []
-            seg = int(group_segs[0])
+        rows = _Rows(("key", "at", "until", "exit"))
+        for keys, segs, hits in _groups(batches, ["key", "seg", "ms"]):
+            seg = int(segs[0])
+            limit = seg * segment_ms + window_ms
             if len(hits) == 1:
                 # sparse keys: most segments hold a single hit
-                keys.append(group_keys[0])
-                segs.append(seg)
-                untils.append(int(hits[0]))
-                exits.append(int(hits[0]) + window_ms)
+                yield from rows.add(keys, segs, hits, hits + window_ms)
                 continue
             # an open window reaches less than window_ms into the segment
-            n = min(len(hits), int(np.searchsorted(hits, seg * segment_ms + window_ms, "left")) + 1)
+            n = min(len(hits), int(np.searchsorted(hits, limit, "left")) + 1)
             out = hits[:n] + window_ms
             alive = np.flatnonzero(out <= hits[-1])
             while len(alive):
                 out[alive] = hits[np.searchsorted(hits, out[alive], "left")] + window_ms
                 alive = alive[out[alive] <= hits[-1]]
-            last = np.flatnonzero(np.append(out[1:] != out[:-1], True))
-            keys.extend([group_keys[0]] * len(last))
-            segs.extend([seg] * len(last))
-            untils.extend(hits[last].tolist())
-            exits.extend(out[last].tolist())
-        if keys:
-            yield pd.DataFrame({"key": keys, "seg": segs, "until": untils, "exit": exits})
+            until, end = _distinct(hits[:n], out, limit)
+            yield from rows.add(keys[: len(until)], segs[: len(until)], until, end)
+        yield from rows.flush()
 
     return run
 
 
-def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Phase 2: carry the end of the open window from segment to segment; constant state."""
-    key, seg, ends, entered, settled = None, None, 0, 0, False
-    for batch in batches:
-        keys, segs, opened = [], [], []
-        rows = zip(batch["key"], batch["seg"].tolist(), batch["until"].tolist(), batch["exit"].tolist())
-        for k, s, until, exit_at in rows:
-            if k != key:
-                key, seg, ends = k, None, np.iinfo(np.int64).min
-            if s != seg:
-                seg, entered, settled = s, ends, False
-                keys.append(k)
-                segs.append(s)
-                opened.append(entered)
-            if not settled and until >= entered:
-                ends, settled = exit_at, True
-        if keys:
-            yield pd.DataFrame({"key": keys, "seg": segs, "open_until": np.array(opened, dtype="int64")})
+def _after(until: np.ndarray, end: np.ndarray, entered: np.ndarray) -> np.ndarray:
+    """Values of a step function."""
+    step = np.searchsorted(until, entered, "left")
+    return np.where(step < len(until), end[np.minimum(step, len(until) - 1)], entered)
 
 
-def _resolve(window_ms: int):
-    """Phase 3: the window opening every millisecond belongs to."""
+def _composed(window_ms: int, block_ms: int, origin_ms: int):
+    """Phase 2, upwards: the functions of a block's members in order as one function."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts: list[list[np.ndarray]] = []
-        size = 0
+        rows = _Rows(("key", "at", "until", "exit"))
+        block = None
+        for keys, _, blocks, until, end in _groups(batches, ["key", "at", "block", "until", "exit"]):
+            if (keys[0], blocks[0]) != block:
+                if block is not None:
+                    yield from rows.add(np.full(len(u), block[0], object), np.full(len(u), block[1]), u, x)
+                block, u, x = (keys[0], blocks[0]), until, end
+                limit = origin_ms + int(blocks[0]) * block_ms + window_ms
+            else:
+                x = _after(until, end, x)
+                if u[-1] < limit:
+                    # Windows that outlive all members so far meet the new one first.
+                    u, x = np.concatenate([u, until]), np.concatenate([x, end])
+            u, x = _distinct(u, x, limit)
+        if block is not None:
+            yield from rows.add(np.full(len(u), block[0], object), np.full(len(u), block[1]), u, x)
+        yield from rows.flush()
+
+    return run
+
 
-        def frame() -> pd.DataFrame:
-            return pd.DataFrame({c: np.concatenate(v) for c, v in zip(("key", "ms", "charge", "opened"), zip(*parts))})
+def _entered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Phase 2, downwards: the end of the window open at the beginning of each member, from that of its block.
 
-        for keys, _, hits, charge, until in _groups(batches, ["key", "seg", "ms", "charge", "open_until"]):
+    The block's own row stands first, with that end as ``exit``. A key without one has a single block, before which no window is open.
+    """
+    rows = _Rows(("key", "at", "open_until"))
+    key, ends = None, NEVER
+    for keys, at, until, end in _groups(batches, ["key", "at", "until", "exit"]):
+        if keys[0] != key:
+            key, ends = keys[0], NEVER
+        if at[0] < 0:
+            ends = int(end[0])
+            continue
+        yield from rows.add(keys[:1], at[:1], np.array([ends]))
+        step = int(np.searchsorted(until, ends, "left"))
+        if step < len(until):
+            ends = int(end[step])
+    yield from rows.flush()
+
+
+def _resolve(window_ms: int):
+    """Phase 3: the window opening every millisecond belongs to.
+
+    The first row of a segment has the end of the window open at its beginning as ``charge``.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = _Rows(("key", "ms", "charge", "opened"), 20_000)
+        for keys, _, hits, charge in _groups(batches, ["key", "seg", "ms", "charge"]):
+            ends, keys, hits, charge = int(charge[0]), keys[1:], hits[1:], charge[1:]
             opening = np.empty(len(hits), dtype="int64")
-            ends = int(until[0])
             i = int(np.searchsorted(hits, ends, "left"))
             if i:
                 opening[:i] = ends - window_ms
@@ -138,34 +193,49 @@ def _resolve(window_ms: int):
                 j = int(np.searchsorted(hits, hits[i] + window_ms, "left"))
                 opening[i:j] = hits[i]
                 i = j
-            parts.append([keys, hits, charge, opening])
-            size += len(hits)
-            if size >= 20_000:
-                yield frame()
-                parts, size = [], 0
-        if parts:
-            yield frame()
+            yield from rows.add(keys, hits, charge, opening)
+        yield from rows.flush()
 
     return run
 
 
-def anchored_windows(hits: DataFrame, window_ms: int, segment_ms: int | None = None) -> DataFrame:
+def _open_at_segments(per_ms: DataFrame, window_ms: int, segment_ms: int, fan: int, steps: int) -> DataFrame:
+    """(key, seg, open_until): the end of the window that is open when a segment of a key begins."""
+    # function rows feed the way up and the way down
+    found = cut(per_ms.select("key", "seg", "ms").repartition("key", "seg").sortWithinPartitions("key", "seg", "ms")
+                .mapInPandas(_entries(window_ms, segment_ms), "key string, at bigint, until bigint, exit bigint"))
+    span = found.groupBy("key").agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high")).agg(
+        F.max("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).first()
+    origin = span["low"] or 0
+    count = (span["high"] or 0) - origin + 1
+    if (span["n"] or 0) <= steps:
+        fan = max(fan, count)
+    levels, size = [found.withColumn("at", F.col("at") - origin)], fan
+    while size < count:
+        grouped = levels[-1].withColumn("block", F.floor(F.col("at") / fan).cast("bigint"))
+        levels.append(cut(grouped.repartition("key", "block").sortWithinPartitions("key", "block", "at", "until").select("key", "at", "block", "until", "exit")
+                          .mapInPandas(_composed(window_ms, size * segment_ms, origin * segment_ms), "key string, at bigint, until bigint, exit bigint")))
+        size *= fan
+    entered = None
+    for functions in reversed(levels):
+        rows = functions.select("key", F.floor(F.col("at") / fan).cast("bigint").alias("block"), "at", "until", "exit")
+        if entered is not None:
+            rows = rows.unionByName(entered.select(
+                "key", F.col("at").alias("block"), F.lit(-1).cast("bigint").alias("at"), F.lit(NEVER).alias("until"), F.col("open_until").alias("exit")))
+        entered = (rows.repartition("key", "block").sortWithinPartitions("key", "block", "at", "until").select("key", "at", "until", "exit")
+                   .mapInPandas(_entered, "key string, at bigint, open_until bigint"))
+    return entered.select("key", (F.col("at") + origin).alias("seg"), "open_until")
+
+
+def anchored_windows(hits: DataFrame, window_ms: int, segment_ms: int | None = None, fan: int = FAN, steps: int = STEPS) -> DataFrame:
     """(key, ms, charge, opened) per distinct millisecond of ``hits(key, ms, charge)``."""
-    segment_ms = max(window_ms, segment_ms or SEGMENT_MS)
-    per_ms = (
-        hits.groupBy("key", "ms").agg(F.sum("charge").cast("bigint").alias("charge"))
-        .withColumn("seg", F.floor(F.col("ms") / segment_ms).cast("bigint")))
+    segment_ms = segment_ms or SEGMENT_MS
     # key spelled as text for the Python side
-    runs = (
-        per_ms.select("key", "seg", "ms").repartition("key", "seg").sortWithinPartitions("key", "seg", "ms")
-        .mapInPandas(_entries(window_ms, segment_ms), "key string, seg bigint, until bigint, exit bigint"))
-    entered = (
-        runs.repartition("key").sortWithinPartitions("key", "seg", "until")
-        .mapInPandas(_chain, "key string, seg bigint, open_until bigint"))
-    return (
-        per_ms.join(entered, ["key", "seg"]).repartition("key", "seg").sortWithinPartitions("key", "seg", "ms")
-        .select("key", "seg", "ms", "charge", "open_until")
-        .mapInPandas(_resolve(window_ms), "key string, ms bigint, charge bigint, opened bigint"))
+    per_ms = (hits.groupBy(F.col("key").cast("string").alias("key"), "ms").agg(F.sum("charge").cast("bigint").alias("charge"))
+              .withColumn("seg", F.floor(F.col("ms") / segment_ms).cast("bigint")))
+    first = _open_at_segments(per_ms, window_ms, segment_ms, fan, steps).select("key", "seg", F.lit(NEVER).alias("ms"), F.col("open_until").alias("charge"))
+    return (per_ms.select("key", "seg", "ms", "charge").unionByName(first).repartition("key", "seg").sortWithinPartitions("key", "seg", "ms")
+            .mapInPandas(_resolve(window_ms), "key string, ms bigint, charge bigint, opened bigint"))
 
 
 def aligned_windows(hits: DataFrame, window_ms: int) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from logloom.operators import quota
 from logloom.streaming import jobs
@@ -46,6 +47,33 @@ def test_distributed_quota_matches_simulation(spark, mode, n, span, ties, limit,
     assert got == simulate(rows, limit, 2_000, mode)
 
 
+@pytest.mark.parametrize("n, span, ties, window, segment, fan", [
+    (900, 400_000, 1, 2_000, 500, 2), (900, 4_000, 1, 50, 40, 3), (600, 90_000, 10, 7_000, 900, 4), (400, 500, 1, 30, 30, 2), (200, 50_000_000, 1, 600_000, 1_000, 16)])
+def test_windows_are_the_same_at_any_depth(spark, n, span, ties, window, segment, fan):
+    rows = hits(n, n, span, ties)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = {(r["key"], r["ms"]): r["opened"] for r in quota.anchored_windows(df, window, segment, fan, steps=5).collect()}
+    opened, expect = {}, {}
+    for _, key, ms, _ in sorted(rows, key=lambda h: h[2]):
+        if key not in opened or ms >= opened[key] + window:
+            opened[key] = ms
+        expect[key, ms] = opened[key]
+    assert got == expect
+
+
+def test_dense_key_in_levels(spark):
+    # every millisecond of more than an hour; windows follow each other without a gap
+    n, window = 4_000_000, 10_000
+    df = spark.range(n).select(F.lit("k").alias("key"), (F.col("id") + 1_700_000_000_123).alias("ms"), F.lit(1).cast("bigint").alias("charge"))
+    per_window = quota.anchored_windows(df, window, 60_000, 8, 100_000).groupBy("opened").agg(F.count("*").alias("n"), F.min("ms").alias("low"))
+    bad = per_window.where((F.col("n") != window) | (F.col("low") != F.col("opened")) | ((F.col("opened") - 1_700_000_000_123) % window != 0))
+    assert per_window.count() == n // window and bad.isEmpty()
+
+
+def test_no_hits(spark):
+    assert quota.rate_limit(spark.createDataFrame([], SCHEMA), 5, 1000).collect() == []
+
+
 def test_first_batch_larger_than_the_limit(spark):
     rows = [("a", "k", 0, 500), ("b", "k", 1, 1), ("c", "k", 10_000, 1)]
     df = spark.createDataFrame(rows, SCHEMA)
