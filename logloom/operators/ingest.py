@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import levels, text
 from ..schema import LOG_COLUMNS
+from .lineage import cut
+from .quota import BUDGETS, rate_limit
 
 # Request limits.
 MAX_BATCH = 500
@@ -77,6 +79,27 @@ def quarantine(requests: DataFrame) -> DataFrame:
     )
 
 
+def outcomes(requests: DataFrame) -> DataFrame:
+    """Every stored entry (``kind`` entry) and every request that yields none (``quarantine``, with body and reason) from one parse of the bodies.
+
+    Stateless, so it serves streams as well. Log columns are null in quarantine; entries of a request that are unusable or over the batch limit give no row.
+    """
+    entries = (
+        parse_bodies(requests)
+        .select("*", F.posexplode_outer(F.arrays_zip("nodes", "texts")).alias("at", "entry"))
+        .withColumn("kind", F.when(F.col("at").isNull(), "quarantine").otherwise("entry"))
+        .withColumn("reason", F.when(F.col("at").isNull(), F.when(F.col("malformed"), "malformed").otherwise("no log entries")))
+        .withColumn("body", F.when(F.col("at").isNull(), F.col("body")))
+        .withColumn("source_request", F.col("request_id"))
+        .select("*", F.coalesce("at", F.lit(0)).alias("pos"), F.col("entry.nodes").alias("node"), F.col("entry.texts").alias("text"))
+        .withColumn("usable", _usable(F.col("node")) | F.col("at").isNull())
+        .drop("tree", "nodes", "texts", "entry", "malformed"))
+    kept = {c: F.col(c) for c in ("kind", "source_request", "received_at", "reason", "body")}
+    shaped = normalize_entries(entries, F.col("header_project"), F.col("received_at"), F.col("request_id"), kept)
+    own = ("kind", "source_request", "received_at", "reason", "body")
+    return shaped.select(*[F.when(F.col("kind") == "entry", F.col(c)).alias(c) for c in LOG_COLUMNS], *own)
+
+
 def extract_entries(requests: DataFrame) -> DataFrame:
     """One row per examined or dropped entry, position kept."""
     return (
@@ -100,8 +123,8 @@ def json_text(node: Column, raw: Column, limit: int = text.MAX_CONTEXT) -> Colum
     return F.when(text.longer_than(kept, limit), F.lit(text.OVERSIZED_JSON)).otherwise(kept)
 
 
-def normalize_entries(entries: DataFrame, project: Column, received_at: Column, row_key: Column) -> DataFrame:
-    """Shape usable entries into log rows. ``entries`` has ``text``, ``node`` and ``pos``.
+def normalize_entries(entries: DataFrame, project: Column, received_at: Column, row_key: Column, extra: dict[str, Column] | None = None) -> DataFrame:
+    """Shape usable entries into log rows, with ``extra`` columns behind them. ``entries`` has ``text``, ``node`` and ``pos``.
 
     The id hashes the row key and the position, so a retried task writes the same ids.
     """
@@ -132,7 +155,7 @@ def normalize_entries(entries: DataFrame, project: Column, received_at: Column,
         "trace_id": text.col64(F.coalesce(f["trace_id"], f["traceId"])),
         "request_id": text.col64(F.coalesce(f["request_id"], f["requestId"])),
     }
-    return shaped.select(*[columns[c].alias(c) for c in LOG_COLUMNS])
+    return shaped.select(*[columns[c].alias(c) for c in LOG_COLUMNS], *[c.alias(n) for n, c in (extra or {}).items()])
 
 
 def normalize_requests(requests: DataFrame, project: Column | None = None) -> DataFrame:
@@ -154,6 +177,22 @@ VERDICTS = {
 NO_KEY = "project has no ingest key"
 
 
+def measured(requests: DataFrame) -> DataFrame:
+    """Size, entry counts and what the request says of its project; bodies over the size limit are not parsed, and none is kept."""
+    sized = requests.withColumn("bytes", F.octet_length("body")).withColumn("body", F.when(F.col("bytes") <= MAX_BODY_BYTES, F.col("body")))
+    tree = F.try_parse_json("body")
+
+    def from_body(*paths: str) -> Column:
+        return F.coalesce(*[F.try_variant_get(tree, p, "string") for p in paths])
+
+    return (
+        accounting(sized)
+        .withColumn("provided_key", F.coalesce(F.col("header_key"), from_body("$.key")))
+        .withColumn("asked", F.nullif(F.coalesce(F.col("header_project"), from_body("$.project", "$.p")), F.lit("")))
+        .drop("body", "malformed")
+    )
+
+
 def admission(requests: DataFrame, projects: DataFrame, ip_rejected: DataFrame | None = None) -> DataFrame:
     """Status and error per request, everything but the project quota.
 
@@ -161,17 +200,11 @@ def admission(requests: DataFrame, projects: DataFrame, ip_rejected: DataFrame |
     alone is 404. ``ip_rejected`` holds the request ids over their address quota.
     Projects are joined without a hint: the optimizer broadcasts them when they are small.
     """
-    body = accounting(requests)
-    tree = F.try_parse_json("body")
+    return judged(measured(requests), projects, ip_rejected)
 
-    def from_body(*paths: str) -> Column:
-        return F.coalesce(*[F.try_variant_get(tree, p, "string") for p in paths])
 
-    body = (
-        body.withColumn("provided_key", F.coalesce(F.col("header_key"), from_body("$.key")))
-        .withColumn("asked", F.nullif(F.coalesce(F.col("header_project"), from_body("$.project", "$.p")), F.lit("")))
-        .withColumn("bytes", F.octet_length("body"))
-    )
+def judged(body: DataFrame, projects: DataFrame, ip_rejected: DataFrame | None = None) -> DataFrame:
+    """``admission`` of requests that are measured already."""
     # ids and keys in one lookup table, so that a single equi-join serves both kinds of request
     project = [F.col("id").alias("pid"), F.col("ingest_key").alias("pkey"), F.col("is_active").alias("active")]
     known = projects.select(F.lit("id").alias("by"), F.col("id").alias("value"), *project).unionByName(
@@ -204,6 +237,24 @@ def admission(requests: DataFrame, projects: DataFrame, ip_rejected: DataFrame |
     )
 
 
+def admit(requests: DataFrame, projects: DataFrame, ip: Column, at_ms: Column, ip_budget: tuple[int, int] = BUDGETS["ip"],
+          project_budget: tuple[int, int] = BUDGETS["project"], mode: str = "memory") -> DataFrame:
+    """The final verdict of every request, in the order of ``VERDICTS``: size, entries, the quota of its address ``ip``, project and key, the project's quota.
+
+    Only requests that pass the size and entry tests count against their address, and only admitted ones against their project, with
+    one point an entry. ``at_ms`` is the arrival. Bodies are parsed once.
+    """
+    body = cut(measured(requests.withColumn("ip", ip).withColumn("at_ms", at_ms)))
+    fit = (F.col("bytes") <= MAX_BODY_BYTES) & (F.col("n") > 0)
+    by_ip = body.where(fit).select(F.col("request_id").alias("hit_id"), F.concat(F.lit("ip:"), "ip").alias("key"), F.col("at_ms").alias("ms"), F.lit(1).cast("bigint").alias("charge"))
+    over_ip = rate_limit(by_ip, *ip_budget, mode).where(~F.col("ok")).select(F.col("hit_id").alias("request_id"))
+    verdicts = cut(judged(body, projects, over_ip))
+    admitted = verdicts.where("status = 201").join(body.select("request_id", "at_ms"), "request_id")
+    by_project = admitted.select(F.col("request_id").alias("hit_id"), F.concat(F.lit("proj:"), "project_id").alias("key"), F.col("at_ms").alias("ms"), F.col("charge").cast("bigint").alias("charge"))
+    over_project = rate_limit(by_project, *project_budget, mode).where(~F.col("ok")).select(F.col("hit_id").alias("request_id"))
+    return settle(verdicts, over_project)
+
+
 def settle(verdicts: DataFrame, project_rejected: DataFrame) -> DataFrame:
     """Turn admitted requests over their project quota into 429 and clear their counts."""
     over = project_rejected.select("request_id", F.lit(True).alias("over"))

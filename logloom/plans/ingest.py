@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import levels, text, times
-from ..operators import ingest
+from ..operators import fixwork, ingest, issues, stream_query
 from ..sources import io
 from ..sources.tables import AS_OF
 from ..streaming.jobs import shared_folder
@@ -21,7 +21,10 @@ entries as (
 _USABLE = "(json_type(e) = 'OBJECT' and coalesce(json_type(e, '$.message'), 'NULL') <> 'NULL')"
 
 
-@query("a01_raw_ingest", "select request_id, header_key, header_project, received_at, cast(octet_length(encode(body)) as integer) as bytes from raw_requests")
+_RAW_SQL = "select request_id, header_key, header_project, received_at, cast(octet_length(encode(body)) as integer) as bytes from raw_requests"
+
+
+@query("a01_raw_ingest", _RAW_SQL)
 def raw_ingest(t):
     return t.raw_requests().select("request_id", "header_key", "header_project", "received_at", F.octet_length("body").alias("bytes"))
 
@@ -259,5 +262,52 @@ def append_sink(t):
     for _ in range(2):
         io.append_entries(t.log_entries(), folder)
     back = io.read_entries(t.spark, folder)
-    return back.groupBy("project_id", F.date_format("event_date", "yyyy-MM-dd").alias("event_date")).agg(
+    return back.groupBy("project_id", "event_date").agg(
         F.count("*").alias("rows"), F.count_distinct("id").alias("ids"))
+
+
+@query("a01_request_files", _RAW_SQL)
+def request_files(t):
+    # half of the requests come as JSON files, half as Parquet
+    folder, raw = shared_folder(t.spark, "requests"), t.raw_requests()
+    odd = F.pmod(F.xxhash64("request_id"), F.lit(2)) == 1
+    raw.where(odd).write.json(f"{folder}/json")
+    raw.where(~odd).write.parquet(f"{folder}/parquet")
+    read = io.read_raw(t.spark, f"{folder}/json", "json").unionByName(io.read_raw(t.spark, f"{folder}/parquet"))
+    return read.select("request_id", "header_key", "header_project", "received_at", F.octet_length("body").alias("bytes"))
+
+
+@query("a01_body_lines", """select cast(octet_length(encode(body)) as integer) as bytes, 3 * count(*) as bodies, 3 * count(*) as ids, cast(count(distinct body) as bigint) as contents from raw_requests group by bytes""")
+def body_lines(t):
+    # every body stands three times in the files; each line is a request of its own
+    folder = shared_folder(t.spark, "bodies")
+    t.raw_requests().select(F.explode(F.array_repeat("body", 3)).alias("value")).write.text(folder)
+    return io.read_bodies(t.spark, folder).groupBy(F.octet_length("body").alias("bytes")).agg(
+        F.count("*").alias("bodies"), F.count_distinct("request_id").alias("ids"), F.count_distinct("body").alias("contents"))
+
+
+def _written(t):
+    folder = shared_folder(t.spark, "log")
+    io.append_entries(t.log_entries(), folder)
+    return io.read_entries(t.spark, folder)
+
+
+@query("a28_written_log_ranges", """select '24h' as range, project_id, event_date, count(*) as n from (select *, substring(timestamp, 1, 10) as event_date from log_entries) where timestamp >= '2024-01-30T00:00:00.000Z' group by project_id, event_date
+  union all select '7d', project_id, event_date, count(*) from (select *, substring(timestamp, 1, 10) as event_date from log_entries) where timestamp >= '2024-01-24T00:00:00.000Z' group by project_id, event_date""")
+def written_log_ranges(t):
+    """Time ranges on the written log read its days only."""
+    log, out = _written(t), None
+    for key in ("24h", "7d"):
+        part = stream_query.in_range(log, key, AS_OF).groupBy("project_id", "event_date").agg(F.count("*").alias("n")).select(F.lit(key).alias("range"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("a51_written_log_occurrences", """select e.id, coalesce(n, 0) as occurrences, cast(k.kept as bigint) as kept from log_entries e left join (select project_id, message, count(*) as n
+  from log_entries where timestamp > '2024-01-24T00:00:00.000Z' group by project_id, message) c on c.project_id = e.project_id and c.message = e.message,
+  (select count(*) as kept from log_entries where timestamp >= '2024-01-16T00:00:00.000Z') k""")
+def written_log_occurrences(t):
+    """Recent occurrences of every entry, and the rows that retention keeps, from the written log."""
+    log = _written(t)
+    kept = issues.retain(log, AS_OF, 15).agg(F.count("*").alias("kept"))
+    return fixwork.recent_occurrences(t.log_entries(), log, AS_OF).select("id", "occurrences").withColumn("one", F.lit(1)).join(kept.withColumn("one", F.lit(1)), "one").drop("one")

@@ -35,12 +35,12 @@ _BURST = """hits as (select event_id as hit_id, case when event_type in ('click'
   epoch_us(ts) // 1000 // 7200000 * 7200000 as ms, 1 as charge from events)"""
 
 
-def _windows_sql(window_ms):
-    return f"""d as (select key, ms, sum(charge) as charge from hits group by key, ms),
-  nxt as (select key, ms, min(ms) over (partition by key order by ms range between {window_ms} following and unbounded following) as nx from d),
-  opens as (select key, min(ms) as ms from d group by key union all select n.key, n.nx from opens o join nxt n on n.key = o.key and n.ms = o.ms where n.nx is not null),
-  w as (select h.*, o.ms as opened from hits h asof join opens o on h.key = o.key and h.ms >= o.ms),
-  run as (select *, coalesce(sum(charge) over (partition by key, opened order by ms, hit_id rows between unbounded preceding and 1 preceding), 0) as prior from w)"""
+def _windows_sql(window_ms, tag=""):
+    return f"""d{tag} as (select key, ms, sum(charge) as charge from hits{tag} group by key, ms),
+  nxt{tag} as (select key, ms, min(ms) over (partition by key order by ms range between {window_ms} following and unbounded following) as nx from d{tag}),
+  opens{tag} as (select key, min(ms) as ms from d{tag} group by key union all select n.key, n.nx from opens{tag} o join nxt{tag} n on n.key = o.key and n.ms = o.ms where n.nx is not null),
+  w{tag} as (select h.*, o.ms as opened from hits{tag} h asof join opens{tag} o on h.key = o.key and h.ms >= o.ms),
+  run{tag} as (select *, coalesce(sum(charge) over (partition by key, opened order by ms, hit_id rows between unbounded preceding and 1 preceding), 0) as prior from w{tag})"""
 
 
 def _verdict_sql(limit, window_ms, mode):
@@ -143,3 +143,27 @@ def admission_with_quota(t):
                                                  F.unix_millis(times.event_ts(F.col("received_at"))).alias("ms"), F.col("charge").cast("bigint").alias("charge"))
     refused = quota.rate_limit(hits, 200, 24 * HOUR).where(~F.col("ok")).select(F.col("hit_id").alias("request_id"))
     return ingest.settle(verdicts, refused).select("request_id", "status", "stored", "skipped")
+
+
+@query("a30_full_admission", f"""with recursive acc as ({_ACCOUNT_SQL}),
+  base as (select r.request_id, a.n, a.stored, a.dropped, a.skipped, r.received_at, r.header_key, r.header_project, trim(string_split(r.forwarded_for, ',')[2]) as ip,
+      case when r.request_id like 'd%' and cast(substring(r.request_id, 2) as bigint) % 499 = 0 then 413 when a.n = 0 then 400 end as early, epoch_ms(cast(received_at[1:23] as timestamp)) as ms
+    from raw_requests r join acc a using (request_id)),
+  hits1 as (select request_id as hit_id, 'ip:' || ip as key, ms, 1 as charge from base where early is null), {_windows_sql(6 * HOUR, "1")},
+  v as (select b.*, p.id as pid, case when early is not null then early when prior >= 20 then 429 when p.id is null then 404 when p.is_active = false then 403
+      when coalesce(p.ingest_key, '') = '' then 403 when coalesce(b.header_key, '') <> p.ingest_key then 401 else 201 end as status
+    from base b left join run1 on hit_id = request_id
+    left join projects p on (b.header_project is not null and p.id = b.header_project) or (b.header_project is null and p.ingest_key = b.header_key)),
+  hits2 as (select request_id as hit_id, 'proj:' || pid as key, ms, least(n, 500) as charge from v where status = 201), {_windows_sql(24 * HOUR, "2")},
+  done as (select v.*, case when status = 201 and prior >= 60 then 429 else status end as s2 from v left join run2 on hit_id = request_id)
+  select request_id, cast(s2 as integer) as status, case s2 when 413 then 'payload too large' when 400 then 'no log entries' when 429 then 'rate limited' when 404 then 'unknown project'
+      when 403 then 'project inactive' when 401 then 'invalid ingest key' end as error,
+    case when s2 = 201 then pid end as project_id, case when s2 = 201 then stored end as stored, case when s2 = 201 then least(n, 500) end as charge from done""")
+def full_admission(t):
+    """Requests of every status: some documents come with blanks beyond the size limit, and both quotas are tight."""
+    raw = t.heavy.raw_requests()
+    number = F.when(F.col("request_id").startswith("d"), F.substring("request_id", 2, 20).cast("bigint"))
+    raw = raw.withColumn("body", F.when(number % 499 == 0, F.concat("body", F.repeat(F.lit(" "), F.lit(ingest.MAX_BODY_BYTES)))).otherwise(F.col("body")))
+    ip = text.client_ip(F.col("forwarded_for"), F.col("real_ip"), F.col("direct_ip"))
+    at = F.unix_millis(times.event_ts(F.col("received_at")))
+    return ingest.admit(raw, t.projects(), ip, at, (20, 6 * HOUR), (60, 24 * HOUR)).select("request_id", "status", "error", "project_id", "stored", "charge")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import Tables
-from ..streaming import jobs, quota
+from ..sources.io import stream_raw
+from ..streaming import alerts, jobs, quota
 from .ingest import _ENTRIES, _ROWS_SQL
 from .quota import _HITS, HOUR, _hits, _verdict_sql, _windows_sql
 from .registry import query
@@ -108,3 +109,40 @@ def duplicate_suppression(t):
     resent = timed.unionByName(timed.withColumn("id", F.concat("id", F.lit("-again"))))
     once = jobs.run_available(jobs.suppress_duplicates(resent).select("project_id", "message"), "dedupe")
     return once.groupBy("project_id", "message").agg(F.count("*").alias("n"))
+
+
+@query("s01_ingest_sink", f"""with {_ENTRIES}, rows as ({_ROWS_SQL}) select 'entry' as kind, id, project_id, level, substring(timestamp, 1, 10) as event_date, cast(null as varchar) as reason from rows
+  union all select 'quarantine', request_id, null, null, null, 'no log entries' from raw_requests where request_id not in (select request_id from entries)""")
+def ingest_sink(t):
+    """Batches of several entries and bare entries as a stream of files into one idempotent sink; the second start finds nothing new."""
+    folder = jobs.shared_folder(t.spark, "ingest-sink")
+    t.raw_requests().write.parquet(f"{folder}/raw")
+    for _ in range(2):
+        jobs.start_ingest(stream_raw(t.spark, f"{folder}/raw"), f"{folder}/log", f"{folder}/checkpoint", once=True).awaitTermination()
+    nothing = F.lit(None).cast("string")
+    entries = jobs.stored_entries(t.spark, f"{folder}/log").select(F.lit("entry").alias("kind"), "id", "project_id", "level", "event_date", nothing.alias("reason"))
+    return entries.unionByName(jobs.stored_quarantine(t.spark, f"{folder}/log").select(
+        F.lit("quarantine").alias("kind"), F.col("request_id").alias("id"), nothing.alias("project_id"), nothing.alias("level"), nothing.alias("event_date"), "reason"))
+
+
+_FIRSTS = f"""firsts as (select project_id, {fingerprint_sql('level', 'channel', 'message')} as fingerprint, id, epoch_ms(cast(timestamp[1:23] as timestamp)) as ms from log_entries
+    where level in ('warning','error','critical','alert','emergency')),
+  hits as (select arg_min(id, ms || id) as hit_id, project_id as key, min(ms) as ms, 1 as charge, fingerprint from firsts group by project_id, fingerprint)"""
+
+
+@query("s05_throttled_alerts", f"with recursive {_FIRSTS}, {_windows_sql(24 * HOUR)} select key as project_id, fingerprint, hit_id as id, prior < 2 as sent from run")
+def throttled_alerts(t):
+    """Shapes when first seen; two alerts a project and day, so that the throttle bites on this data."""
+    _with_state_store(t)
+    found = alerts.first_seen_alerts(_timed(t), remember="400 days", limit=2, window_ms=24 * HOUR)
+    return jobs.run_available(found, "alerts").select("project_id", "fingerprint", "id", "sent")
+
+
+@query("a45_closed_windows_stream", f"""with recursive {_HITS}, {_windows_sql(6 * HOUR)}, all_windows as (select key, cast(opened as bigint) as opened, count(*) as hits, cast(coalesce(sum(charge) filter (where prior < 20), 0) as bigint) as used,
+    lead(opened) over (partition by key order by opened) as later from run group by key, opened)
+  select key, opened, opened + {6 * HOUR} as reset_at, hits, used from all_windows where later is not null or opened + {6 * HOUR} <= (select max(ms) - 600000 from hits)""")
+def closed_windows(t):
+    """Every window once it is over, by a later hit or by an event-time timer."""
+    _with_state_store(t)
+    hits = _hits(_streams(t)).withColumn("hit_id", F.col("hit_id").cast("string"))
+    return jobs.run_available(quota.closed_windows_stream(hits, 20, 6 * HOUR, "10 minutes"), "closed")

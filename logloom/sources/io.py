@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import times
-from ..schema import RAW_REQUEST
+from ..schema import LOG_ENTRY, RAW_REQUEST
 
 
 def read_raw(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -20,9 +20,11 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
 
     Reading the same files again, with others or in other splits, gives the same ids.
     """
-    lines = spark.read.text(path).select(F.col("value").alias("body"), "_metadata.file_path", F.sha2("value", 256).alias("content"))
-    count = F.row_number().over(Window.partitionBy("file_path", "content").orderBy("content"))
-    return lines.select(F.sha2(F.concat_ws("|", "file_path", "content", count.cast("string")), 256).alias("request_id"), "body")
+    lines = spark.read.text(path).select(F.col("value").alias("body"), "_metadata.file_path")
+    # equal lines are counted map-side and numbered again, so a file of one repeated line is no group of rows
+    counted = lines.groupBy("file_path", "body").agg(F.count("*").alias("n"))
+    each = counted.select("file_path", "body", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("i"))
+    return each.select(F.sha2(F.concat_ws("|", "file_path", F.sha2("body", 256), F.col("i").cast("string")), 256).alias("request_id"), "body")
 
 
 def stream_raw(spark: SparkSession, path: str, fmt: str = "parquet", files_per_trigger: int = 100) -> DataFrame:
@@ -61,6 +63,16 @@ def with_partitions(entries: DataFrame, received: Column | None = None) -> DataF
     return entries.withColumn("event_date", F.coalesce(F.date_format(day, "yyyy-MM-dd"), F.lit("unknown")))
 
 
+def with_arrival_day(entries: DataFrame, received: Column) -> DataFrame:
+    """Add ``event_date`` as the day of arrival, ``unknown`` where the entry's time can't be read or runs ahead of it.
+
+    A day of arrival ends no earlier than its entries, so pruning by it loses none; and what clients claim makes no folders.
+    """
+    arrived = received.try_cast("timestamp")
+    known = times.event_ts(F.col("timestamp")) <= arrived
+    return entries.withColumn("event_date", F.when(known, F.date_format(arrived, "yyyy-MM-dd")).otherwise(F.lit("unknown")))
+
+
 def append_entries(entries: DataFrame, path: str, max_records: int = 5_000_000) -> None:
     """Append rows to the log table as they are: no dedupe, no update.
 
@@ -77,7 +89,8 @@ def append_entries(entries: DataFrame, path: str, max_records: int = 5_000_000)
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The written log. Its partition columns are texts, whatever their values look like: project ``007`` and the day ``unknown`` keep their names."""
+    return spark.read.schema(f"{LOG_ENTRY}, event_date string").parquet(path)
 
 
 def drop_partitions_before(entries: DataFrame, day: str) -> DataFrame:

@@ -110,9 +110,10 @@ class Tables:
             F.col("doc_id").alias("n"),
             F.lit("2024-01-15T08:00:01.000Z").alias("received_at"))
         both = batches.unionByName(single)
-        if self.spread_scans:
-            # the grouping leaves few partitions behind
-            both = both.repartition(self.spark.sparkContext.defaultParallelism)
+        cores = self.spark.sparkContext.defaultParallelism
+        if self.spread_scans and Tables(self.spark, self.directory).documents.rdd.getNumPartitions() < cores:
+            # a small input, whose grouping leaves few partitions behind
+            both = both.repartition(cores)
         project = F.coalesce(F.col("header_project"), F.concat(F.lit("proj-"), (F.col("n") % 5).cast("string")))
         names = F.lit(["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"])
         number = F.substring(project, 6, 1).cast("int")

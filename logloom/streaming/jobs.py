@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import levels
 from ..operators import ingest
 from ..operators.fixwork import with_fingerprint
-from ..schema import LOG_COLUMNS
-from ..sources.io import guarded_ts, with_partitions
+from ..schema import LOG_COLUMNS, LOG_ENTRY
+from ..sources.io import guarded_ts, with_arrival_day, with_partitions
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -39,17 +40,37 @@ def run_available(stream: DataFrame, name: str, partition_by: list[str] | None =
 
 def ingest_stream(requests: DataFrame) -> DataFrame:
     """Raw request stream to log rows with their partition column; stateless."""
-    rows = ingest.normalize_requests(requests)
-    return with_partitions(rows)
+    return with_partitions(ingest.normalize_requests(requests))
 
 
-def start_ingest(requests: DataFrame, out: str, quarantine_out: str, checkpoint: str):
-    """Start the two exactly-once file sinks: log rows, and requests that yield none."""
-    entries = (ingest_stream(requests).writeStream.format("parquet").outputMode("append").partitionBy("project_id", "event_date")
-               .option("checkpointLocation", f"{checkpoint}/entries").start(out))
-    rejects = (ingest.quarantine(requests).writeStream.format("parquet").outputMode("append")
-               .option("checkpointLocation", f"{checkpoint}/quarantine").start(quarantine_out))
-    return entries, rejects
+def start_ingest(requests: DataFrame, out: str, checkpoint: str, once: bool = False):
+    """Start the ingest of a raw request stream: log rows and quarantined requests into one table, each source row read and parsed once.
+
+    A micro-batch has a folder of its own, named by the checkpoint and the batch, and overwrites it whole: a batch that is run again after a
+    failure writes nothing twice. Folders below are the kind and the day of arrival, so no client decides on their number. Read
+    the parts by ``stored_entries`` and ``stored_quarantine``.
+    """
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = with_arrival_day(ingest.outcomes(batch), F.col("received_at"))
+        rows.write.mode("overwrite").partitionBy("kind", "event_date").parquet(f"{out}/stream={name}/batch={number}")
+
+    writer = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+_STORED = f"{LOG_ENTRY}, source_request string, received_at string, reason string, body string, stream string, batch bigint, kind string, event_date string"
+
+
+def stored_entries(spark: SparkSession, out: str) -> DataFrame:
+    """Log rows that ``start_ingest`` wrote, with ``event_date``."""
+    return spark.read.schema(_STORED).parquet(out).where("kind = 'entry'").select(*LOG_COLUMNS, "event_date")
+
+
+def stored_quarantine(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(_STORED).parquet(out).where("kind = 'quarantine'").select(
+        F.col("source_request").alias("request_id"), "received_at", "reason", "body")
 
 
 def with_guarded_time(entries: DataFrame, received: str = "received_at") -> DataFrame:

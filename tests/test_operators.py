@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.operators import alerts, changes, commerce, delivery, fixwork, issues, quality, querylog, quota, relations, search
+from logloom.operators import alerts, changes, commerce, delivery, fixwork, ingest, issues, quality, querylog, quota, relations, search
 from logloom.operators import stream_query as sq
 from logloom.sources import io
 from logloom.streaming import jobs
@@ -190,18 +190,92 @@ def test_future_clocks_cannot_close_windows(spark, tmp_path):
     assert [(r["total"], r["errors"]) for r in out] == [(2, 2)]
 
 
+RAW = "request_id string, body string, header_key string, header_project string, forwarded_for string, real_ip string, direct_ip string, received_at string"
+
+
 def test_stream_ingest_is_exactly_once(spark, tmp_path):
-    src, out, bad, check = (str(tmp_path / n) for n in ("src", "out", "bad", "check"))
-    schema = "request_id string, body string, header_key string, header_project string, forwarded_for string, real_ip string, direct_ip string, received_at string"
-    row = lambda i, b: (f"r{i}", b, None, "p", None, None, None, "2024-01-01T00:00:00Z")
+    src, out, check = (str(tmp_path / n) for n in ("src", "out", "check"))
+    row = lambda i, b: (f"r{i}", b, None, "007", None, None, None, "2024-01-01T00:00:00Z")
     for i in range(2):
-        spark.createDataFrame([row(i, '{"logs":[{"message":"a"},{"message":"b"}]}'), row(i + 10, "{broken")], schema).coalesce(1).write.mode("append").parquet(src)
-        queries = jobs.start_ingest(io.stream_raw(spark, src), out, bad, check)
-        for q in queries:
-            q.processAllAvailable()
-            q.stop()
-    log = spark.read.parquet(out)
-    assert log.count() == 4 and log.select("id").distinct().count() == 4 and spark.read.parquet(bad).count() == 2
+        bodies = ['{"logs":[{"message":"a"},{"message":"b","timestamp":"2099-01-01T00:00:00Z"},{"x":1}]}', "{broken", "{}", '{"message":"c","timestamp":"1999-05-05T00:00:00Z"}']
+        spark.createDataFrame([row(10 * i + k, b) for k, b in enumerate(bodies)], RAW).coalesce(1).write.mode("append").parquet(src)
+        q = jobs.start_ingest(io.stream_raw(spark, src), out, check)
+        q.processAllAvailable()
+        q.stop()
+    log, bad = jobs.stored_entries(spark, out), jobs.stored_quarantine(spark, out)
+    assert log.count() == 6 and log.select("id").distinct().count() == 6 and {r["project_id"] for r in log.collect()} == {"007"}
+    assert sorted(r["event_date"] for r in log.collect()) == ["2024-01-01"] * 4 + ["unknown"] * 2
+    assert sorted((r["request_id"], r["reason"]) for r in bad.collect()) == [("r1", "malformed"), ("r11", "malformed"), ("r12", "no log entries"), ("r2", "no log entries")]
+    # the last batch was written, but its commit is lost: it runs again
+    newest = max((tmp_path / "check" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    newest.unlink()
+    newest.with_name(f".{newest.name}.crc").unlink(missing_ok=True)
+    q = jobs.start_ingest(io.stream_raw(spark, src), out, check)
+    q.processAllAvailable()
+    q.stop()
+    assert jobs.stored_entries(spark, out).count() == 6 and jobs.stored_quarantine(spark, out).count() == 4
+    plain = ingest.normalize_requests(spark.read.schema(RAW).parquet(src))
+    assert sorted(jobs.stored_entries(spark, out).drop("event_date").collect()) == sorted(plain.collect())
+
+
+def test_written_log_keeps_its_partition_types(spark, tables, tmp_path):
+    from logloom.operators import fixwork
+    as_of = "2024-01-31T00:00:00.000Z"
+    entries = tables.log_entries().withColumn("project_id", F.regexp_replace("project_id", "proj-", "00"))
+    for name, rows in (("known", entries), ("unknown", entries.unionByName(entries.limit(2).withColumn("timestamp", F.lit("no time"))))):
+        path = str(tmp_path / name)
+        io.append_entries(rows, path)
+        log = io.read_entries(spark, path)
+        assert dict(log.dtypes)["event_date"] == dict(log.dtypes)["project_id"] == "string"
+        assert {r[0] for r in log.select("project_id").distinct().collect()} == {f"00{i}" for i in range(5)}
+        for span in ("24h", "7d"):
+            assert sorted(r["id"] for r in sq.in_range(log, span, as_of).collect()) == sorted(r["id"] for r in sq.in_range(rows, span, as_of).collect())
+        assert issues.retain(log, as_of, 5).count() == issues.retain(rows, as_of, 5).count()
+        key = ["id", "occurrences"]
+        assert sorted(fixwork.recent_occurrences(rows.limit(40), log, as_of).select(key).collect()) == sorted(fixwork.recent_occurrences(rows.limit(40), rows, as_of).select(key).collect())
+
+
+ALERT_LOG = "id string, project_id string, level string, channel string, message string, timestamp string, received_at string"
+
+
+def test_alerts_are_throttled_over_batches_and_a_restart(spark, tmp_path):
+    from logloom.streaming.alerts import first_seen_alerts
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    src, out, check = (str(tmp_path / n) for n in ("src", "out", "check"))
+    word = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    when = lambda m: f"2024-01-{1 + m // 1440:02d}T{m // 60 % 24:02d}:{m % 60:02d}:00.000Z"
+
+    def add(rows):
+        spark.createDataFrame([(f"e{m:06}{i:03}", p, "error", "c", f"fails {word(s)}", when(m), when(m)) for i, (p, s, m) in enumerate(rows)], ALERT_LOG).coalesce(1).write.mode("append").parquet(src)
+
+    def run():
+        stream = spark.readStream.schema(ALERT_LOG).option("maxFilesPerTrigger", 1).parquet(src)
+        q = (first_seen_alerts(jobs.with_guarded_time(stream), remember="1 day", late="1 minute").writeStream.format("parquet").option("checkpointLocation", check)
+             .trigger(availableNow=True).start(out))
+        q.awaitTermination()
+        return q
+
+    add([("hot", s % 12, s % 30) for s in range(200)] + [("calm", 1, 0)])
+    run()
+    add([("hot", s, 40) for s in range(10, 40)])
+    run()
+    add([("hot", s, 61) for s in range(30, 60)])
+    run()
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == len({(r["project_id"], r["fingerprint"]) for r in rows}) == 61
+    sent = [r["ms"] for r in rows if r["sent"] and r["project_id"] == "hot"]
+    first = min(sent)
+    # 12 and 3 in the first hour, 15 in the second
+    assert sum(t < first + 3_600_000 for t in sent) == 15 and len(sent) == 30
+    held = lambda q: [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]][-1]
+    # two days later all shapes are forgotten, and the first one is new again
+    add([("calm", 99, 2 * 1440 + 300)])
+    run()
+    add([("hot", 0, 2 * 1440 + 301)])
+    q = run()
+    again = [r for r in spark.read.parquet(out).collect() if r["ms"] > 2 * 86_400_000 + first]
+    assert {r["project_id"] for r in again} == {"calm", "hot"} and all(r["sent"] for r in again)
+    assert held(q) < 20
 
 
 def test_spikes_survive_one_bad_clock(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators import quota
 from logloom.streaming import jobs
-from logloom.streaming.quota import rate_limit_stream
+from logloom.streaming.quota import closed_windows_stream, rate_limit_stream
 
 SCHEMA = "hit_id string, key string, ms bigint, charge bigint"
 
@@ -100,3 +100,29 @@ def test_streaming_state_spans_batches(spark, tmp_path, mode):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
     got = {r["hit_id"]: (r["opened"], r["ok"], r["retry_after"]) for r in jobs.run_available(rate_limit_stream(stream, 7, 2_000, mode), "t").collect()}
     assert got == simulate(rows, 7, 2_000, mode)
+
+
+@pytest.mark.parametrize("mode", ["memory", "shared"])
+def test_idle_windows_close_and_leave_no_state(spark, tmp_path, mode):
+    rows = sorted(hits(300, 9, 40_000), key=lambda h: h[2])
+    for i in range(3):
+        spark.createDataFrame(rows[i * 100:(i + 1) * 100], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
+    # time moves on by a hit of another key
+    far = rows[-1][2] + 10_000_000
+    spark.createDataFrame([("z", "other", far, 1)], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
+    stream = lambda: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "src"))
+    expect = {}
+    verdicts = simulate(rows, 7, 2_000, mode)
+    for hit_id, key, _, charge in rows:
+        opened, ok, _ = verdicts[hit_id]
+        n, used = expect.get((key, opened), (0, 0))
+        expect[key, opened] = (n + 1, used + (charge if ok or mode == "shared" else 0))
+    q = (closed_windows_stream(stream(), 7, 2_000, "1 minute", mode).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c1"))
+         .trigger(availableNow=True).start(str(tmp_path / "o1")))
+    q.awaitTermination()
+    got = {(r["key"], r["opened"]): (r["hits"], r["used"]) for r in spark.read.parquet(str(tmp_path / "o1")).collect()}
+    assert got == expect
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(state) > state[-1] and state[-1] <= 2
+    judged = jobs.run_available(rate_limit_stream(stream(), 7, 2_000, mode, late="1 minute"), "t").collect()
+    assert {r["hit_id"]: (r["opened"], r["ok"], r["retry_after"]) for r in judged if r["hit_id"] != "z"} == verdicts
