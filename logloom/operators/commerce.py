@@ -122,16 +122,16 @@ def job_stats(df: DataFrame, keys: list[str], status: str, duration: str) -> Dat
 def category_tree(nodes: DataFrame) -> DataFrame:
     """Depth and path of every node reachable from a root: nodes(id, parent_id, name).
 
-    One join per level until a level is empty; each level is materialised so the plan
-    does not grow. Nodes on a cycle hang below no root and never appear.
+    Pointers are doubled: a node knows the path from an ancestor to itself, and takes over what that ancestor knows, so the rounds grow with the
+    logarithm of the depth. A node is done when its ancestor is above a root. Round r ends the depths from 2^(r-1) to 2^r - 1; one that ends none is
+    the last, as every deeper node would have an ancestor there. Nodes below a missing parent go, nodes on a cycle stay behind.
     """
-    level = cut(nodes.where(F.col("parent_id").isNull()).select("id", F.lit(0).alias("depth"), F.col("name").alias("path")))
-    out, depth = level, 0
-    below = nodes.where(F.col("parent_id").isNotNull())
-    while not level.isEmpty():
-        depth += 1
-        parents = level.select(F.col("id").alias("parent_id"), F.col("path").alias("above"))
-        level = cut(salted_join(below, parents, ["parent_id"], "inner", row_key=F.xxhash64("id")).select(
-            "id", F.lit(depth).alias("depth"), F.concat("above", F.lit(" / "), "name").alias("path")))
-        out = out.unionByName(level)
-    return out
+    state = cut(nodes.select("id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"), F.col("name").alias("path")))
+    while True:
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("path").alias("before"))
+        moved = salted_join(state.where(F.col("up").isNotNull()), above, ["up"], "inner", row_key=F.xxhash64("id")).select(
+            "id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.concat("before", F.lit(" / "), "path").alias("path"))
+        moved = cut(moved)
+        state = state.where(F.col("up").isNull()).unionByName(moved)
+        if moved.where(F.col("up").isNull()).isEmpty():
+            return state.where(F.col("up").isNull()).select("id", "depth", "path")

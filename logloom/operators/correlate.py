@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .skew import HOT_ROWS, salted_join
+from .skew import HOT_ROWS, key_filter, salted_join
 
 DEFAULT_AROUND = 12
 MAX_AROUND = 40
@@ -22,31 +22,42 @@ def _row(payload: list[str]) -> Column:
     return F.struct("timestamp", "id", *payload)
 
 
+def _keys(via: str) -> list[Column]:
+    return [F.col("project_id"), F.lit(via), F.col(f"{via}_id")]
+
+
 def correlated(targets: DataFrame, entries: DataFrame, limit: int = DEFAULT_AROUND, payload: tuple[str, ...] = (),
                min_rows: int = HOT_ROWS) -> DataFrame:
     """Oldest entries sharing the target's trace, else its request; the target itself left out.
 
-    A target needs at most ``limit + 1`` entries of its key, so each key is cut to that
+    One scan of the entries: rows whose keys no target has are dropped there, by a filter of the targets' keys, so the cost follows the targets (there is none when
+    every entry is a target). A target needs at most ``limit + 1`` entries of its key, so each key is cut to that
     many before anything is joined. The cut is a rank filter, which already prunes
     inside every map task; a trace with a third of all rows ships a handful.
     Returns (id, around) with ``around`` ordered by time.
     """
     limit = min(MAX_AROUND, max(0, limit))
     cols = ["project_id", "id", "timestamp", *payload]
-    by_trace = entries.where(_truthy("trace_id")).select(*cols, F.lit("trace").alias("via"), F.col("trace_id").alias("key"))
-    by_request = entries.where(_truthy("request_id")).select(*cols, F.lit("request").alias("via"), F.col("request_id").alias("key"))
-    rank = F.row_number().over(Window.partitionBy(*_KEY).orderBy("timestamp", "id"))
-    oldest = (
-        by_trace.unionByName(by_request).withColumn("rn", rank).where(F.col("rn") <= limit + 1)
-        .groupBy(*_KEY).agg(F.array_sort(F.collect_list(_row(list(payload)))).alias("rows")))
     keyed = targets.where(_truthy("trace_id") | _truthy("request_id")).select(
         "id", "project_id", F.when(_truthy("trace_id"), "trace").otherwise("request").alias("via"),
         F.when(_truthy("trace_id"), F.col("trace_id")).otherwise(F.col("request_id")).alias("key"))
+    wanted = {via: _truthy(f"{via}_id") for via in ("trace", "request")}
+    if targets is not entries:
+        asked = key_filter(keyed, _KEY)
+        wanted = {via: test & asked(*_keys(via)) for via, test in wanted.items()}
+    ways = F.array(*[F.when(test, F.struct(F.lit(via).alias("via"), F.col(f"{via}_id").alias("key"))) for via, test in wanted.items()])
+    rows = entries.withColumn("_way", F.explode(ways)).where(F.col("_way").isNotNull()).select(*cols, F.col("_way.via").alias("via"), F.col("_way.key").alias("key"))
+    rank = F.row_number().over(Window.partitionBy(*_KEY).orderBy("timestamp", "id"))
+    oldest = rows.withColumn("rn", rank).where(F.col("rn") <= limit + 1).groupBy(*_KEY).agg(F.array_sort(F.collect_list(_row(list(payload)))).alias("rows"))
     joined = salted_join(keyed, oldest, _KEY, "inner", row_key=F.xxhash64("id"), min_rows=min_rows)
     others = F.filter("rows", lambda r: r.id != F.col("id"))
     return joined.select("id", F.slice(others, 1, max(limit, 1)).alias("around")).where(F.lit(limit > 0))
 
 
+# Characters of a time text that make a day and a year.
+_WIDER = (10, 4)
+
+
 def preceding(targets: DataFrame, entries: DataFrame, limit: int = DEFAULT_AROUND, payload: tuple[str, ...] = (),
               bucket_chars: int = 16, min_rows: int = HOT_ROWS) -> DataFrame:
     """The ``limit`` entries with a strictly smaller time in the same project and channel.
@@ -54,8 +65,10 @@ def preceding(targets: DataFrame, entries: DataFrame, limit: int = DEFAULT_AROUN
     Targets must be rows of ``entries``; a missing channel equals an empty one. A project
     is never ranked as a whole. Entries are cut to ``limit`` per distinct time, ranked
     inside short time buckets (prefixes of the time text, which sort like the text), and
-    what a bucket lacks at its start is carried over from the last rows of the buckets
-    before it. Equal times share one answer, so it is computed per distinct time.
+    what a bucket lacks at its start is carried over from the last rows before it. Last rows are kept in levels: those of
+    a minute, of a day from its minutes' last rows, of a year from its days'. So a window sees one minute, the last rows of a day's minutes, of a year's days,
+    or of the years. Equal times share one answer, so it is computed per distinct time. Projects and channels without a target are
+    dropped in the scan.
     Returns (id, around) with ``around`` ordered by time.
     """
     limit = min(MAX_AROUND, max(0, limit))
@@ -63,31 +76,51 @@ def preceding(targets: DataFrame, entries: DataFrame, limit: int = DEFAULT_AROUN
     group = ["project_id", "source"]
     source = F.coalesce("channel", F.lit("")).alias("source")
     row = _row(list(payload))
-    rows = entries.select("project_id", source, "timestamp", "id", *payload,
-                          F.substring("timestamp", 1, bucket_chars).alias("bucket"))
-    newest = Window.partitionBy(*group, "bucket", "timestamp").orderBy(F.desc("id"))
-    cut = rows.withColumn("tie", F.row_number().over(newest)).where(F.col("tie") <= k)
-
-    inside = Window.partitionBy(*group, "bucket").orderBy("timestamp", "id")
+    keyed = targets.where(F.col("timestamp").isNotNull()).select("id", "project_id", source, "timestamp")
+    rows = entries.select("project_id", source, "timestamp", "id", *payload, F.substring("timestamp", 1, bucket_chars).alias("b0"))
+    if targets is not entries:
+        asked = key_filter(keyed, group)
+        rows = rows.where(asked(F.col("project_id"), F.col("source")))
+    newest = Window.partitionBy(*group, "b0", "timestamp").orderBy(F.desc("id"))
+    cut = rows.withColumn("tie", F.row_number().over(newest)).where(F.col("tie") <= k).drop("tie")
+
+    inside = Window.partitionBy(*group, "b0").orderBy("timestamp", "id")
     ranked = (
         cut.withColumn("before", F.collect_list(row).over(inside.rowsBetween(-k, -1)))
-        .withColumn("first", F.row_number().over(inside) == F.rank().over(Window.partitionBy(*group, "bucket").orderBy("timestamp"))))
+        .withColumn("first", F.row_number().over(inside) == F.rank().over(Window.partitionBy(*group, "b0").orderBy("timestamp"))))
     # the first row of a tie sees exactly the rows with a smaller time
-    local = ranked.where("first").select(*group, "bucket", "timestamp", "before")
-
-    last = Window.partitionBy(*group, "bucket").orderBy(F.desc("timestamp"), F.desc("id"))
-    tails = cut.withColumn("back", F.row_number().over(last)).where(F.col("back") <= k)
-    across = Window.partitionBy(*group).orderBy("bucket", "timestamp", "id")
-    carry = (
-        tails.withColumn("carried", F.collect_list(row).over(across.rowsBetween(-k, -1)))
-        .withColumn("opens", F.row_number().over(across) == F.rank().over(Window.partitionBy(*group).orderBy("bucket")))
-        .where("opens").select(*group, "bucket", "carried"))
-
-    answers = local.join(carry, [*group, "bucket"], "left").select(
-        *group, "timestamp", F.concat(F.coalesce("carried", F.array()), F.col("before")).alias("seen"))
-    answers = answers.select(*group, "timestamp", F.when(
-        F.size("seen") > k, F.slice("seen", -k, k)).otherwise(F.col("seen")).alias("around")).where(F.size("around") > 0)
-    keyed = targets.where(F.col("timestamp").isNotNull()).select("id", "project_id", source, "timestamp")
+    local = ranked.where("first").select(*group, "b0", "timestamp", "before")
+    if targets is not entries:
+        timed = key_filter(keyed, [*group, "timestamp"])
+        local = local.where(timed(F.col("project_id"), F.col("source"), F.col("timestamp")))
+
+    def last(df: DataFrame, bucket: str) -> DataFrame:
+        back = F.row_number().over(Window.partitionBy(*group, bucket).orderBy(F.desc("timestamp"), F.desc("id")))
+        return df.withColumn("back", back).where(F.col("back") <= k).drop("back")
+
+    sizes = [bucket_chars, *(n for n in _WIDER if n < bucket_chars), 0]
+    tails, steps = last(cut, "b0"), []
+    for level, size in enumerate(sizes[1:], 1):
+        lower, upper = f"b{level - 1}", f"b{level}"
+        placed = tails.withColumn(upper, F.substring("timestamp", 1, size) if size else F.lit(""))
+        across = Window.partitionBy(*group, upper).orderBy("timestamp", "id")
+        opens = F.coalesce(F.lag(lower).over(across) != F.col(lower), F.lit(True))
+        steps.append(placed.withColumn("carried", F.collect_list(row).over(across.rowsBetween(-k, -1))).withColumn("opens", opens)
+                     .where("opens").select(*group, lower, upper, "carried"))
+        tails = last(placed, upper)
+
+    def latest(seen: Column) -> Column:
+        return F.when(F.size(seen) > k, F.slice(seen, -k, k)).otherwise(seen)
+
+    # from the widest buckets down: what came before a bucket in its parent, behind what came before the parent
+    carry = steps[-1]
+    for level in range(len(steps) - 2, -1, -1):
+        above = carry.select(*group, f"b{level + 1}", F.col("carried").alias("above"))
+        carry = steps[level].join(above, [*group, f"b{level + 1}"], "left").withColumn(
+            "carried", latest(F.concat(F.coalesce("above", F.array()), F.col("carried")))).drop("above")
+
+    answers = local.join(carry.select(*group, "b0", "carried"), [*group, "b0"], "left").select(
+        *group, "timestamp", latest(F.concat(F.coalesce("carried", F.array()), F.col("before"))).alias("around")).where(F.size("around") > 0)
     joined = salted_join(keyed, answers, [*group, "timestamp"], "inner", row_key=F.xxhash64("id"), min_rows=min_rows)
     return joined.select("id", "around").where(F.lit(limit > 0))
 
@@ -114,9 +147,11 @@ _HEAD = "Analyze this production log entry.\n\nBEGIN EVIDENCE (untrusted data -
 
 def evidence(targets: DataFrame, entries: DataFrame, occurrences: DataFrame, budget: int = EVIDENCE_BUDGET,
              limit: int = DEFAULT_AROUND) -> DataFrame:
-    """Fixed-layout evidence text per target: facts, message, context and timeline in budget shares."""
-    budget = min(256 * 1024, max(8 * 1024, budget))
+    """Fixed-layout evidence text per target: facts, message, context and timeline in budget shares.
 
+    ``targets`` are read several times and the entries once for each kind of neighbour: pass targets that are materialised.
+    """
+    budget = min(256 * 1024, max(8 * 1024, budget))
     def cut(column: Column, size: int) -> Column:
         return text.clip(F.coalesce(column, F.lit("")), size, _CUT)
 

@@ -57,10 +57,13 @@ def with_related(parents: DataFrame, children: DataFrame, key: str, order: list[
     """One row per parent and child: the parent's columns, ``position`` of the child from 0, and the child's other columns.
 
     A parent without children has one row with NULLs. The shape is the same for any number of children: nothing is
-    collected per parent, and positions are counted over many tasks.
+    collected per parent, positions are counted over many tasks, and the children of one parent are spread over many as well.
     """
     placed = sums_before(children, [key], order, {"position": F.lit(1)})
-    return salted_join(parents, placed, [key], "left")
+    own, others = [c for c in parents.columns if c != key], [c for c in placed.columns if c != key]
+    held = salted_join(placed, parents, [key], "inner").select(key, *(parents[c] for c in own), *(placed[c] for c in others))
+    childless = parents.join(children.select(key).distinct(), key, "left_anti")
+    return held.unionAll(childless.select(key, *own, *(F.lit(None).cast(placed.schema[c].dataType).alias(c) for c in others)))
 
 
 def morph(targets: dict[str, DataFrame], links: DataFrame, type_col: str, id_col: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import levels
 from ..functions.fingerprint import fingerprint_of, normalize_message
 from ..operators import correlate, fixwork
+from ..operators.lineage import cut
 from ..sources.tables import AS_OF
 from .registry import query
 from .sql_views import fingerprint_sql, shape_sql
@@ -142,5 +143,5 @@ def preceding_tied(t):
   where level in ('warning','error','critical','alert','emergency')""")
 def evidence(t):
     log = t.log_entries()
-    targets = log.where(levels.fixable(F.col("level")))
+    targets = cut(log.where(levels.fixable(F.col("level"))))
     return correlate.evidence(targets, log, fixwork.recent_occurrences(targets, log, AS_OF))

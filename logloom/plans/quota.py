@@ -147,7 +147,8 @@ def admission_with_quota(t):
 
 @query("a30_full_admission", f"""with recursive acc as ({_ACCOUNT_SQL}),
   base as (select r.request_id, a.n, a.stored, a.dropped, a.skipped, r.received_at, r.header_key, r.header_project, trim(string_split(r.forwarded_for, ',')[2]) as ip,
-      case when r.request_id like 'd%' and cast(substring(r.request_id, 2) as bigint) % 499 = 0 then 413 when a.n = 0 then 400 end as early, epoch_ms(cast(received_at[1:23] as timestamp)) as ms
+      case when r.request_id not like 'd%' then case when a.n = 0 then 400 end when cast(substring(r.request_id, 2) as bigint) % 499 = 0 then 413
+        when a.n = 0 or cast(substring(r.request_id, 2) as bigint) % 83 = 0 then 400 end as early, epoch_ms(cast(received_at[1:23] as timestamp)) as ms
     from raw_requests r join acc a using (request_id)),
   hits1 as (select request_id as hit_id, 'ip:' || ip as key, ms, 1 as charge from base where early is null), {_windows_sql(6 * HOUR, "1")},
   v as (select b.*, p.id as pid, case when early is not null then early when prior >= 20 then 429 when p.id is null then 404 when p.is_active = false then 403
@@ -160,10 +161,10 @@ def admission_with_quota(t):
       when 403 then 'project inactive' when 401 then 'invalid ingest key' end as error,
     case when s2 = 201 then pid end as project_id, case when s2 = 201 then stored end as stored, case when s2 = 201 then least(n, 500) end as charge from done""")
 def full_admission(t):
-    """Requests of every status: some documents come with blanks beyond the size limit, and both quotas are tight."""
+    """Requests of every status: some documents come with blanks beyond the size limit or as an empty object, and both quotas are tight."""
     raw = t.heavy.raw_requests()
     number = F.when(F.col("request_id").startswith("d"), F.substring("request_id", 2, 20).cast("bigint"))
-    raw = raw.withColumn("body", F.when(number % 499 == 0, F.concat("body", F.repeat(F.lit(" "), F.lit(ingest.MAX_BODY_BYTES)))).otherwise(F.col("body")))
+    raw = raw.withColumn("body", F.when(number % 499 == 0, F.concat("body", F.repeat(F.lit(" "), F.lit(ingest.MAX_BODY_BYTES)))).when(number % 83 == 0, "{}").otherwise(F.col("body")))
     ip = text.client_ip(F.col("forwarded_for"), F.col("real_ip"), F.col("direct_ip"))
     at = F.unix_millis(times.event_ts(F.col("received_at")))
     return ingest.admit(raw, t.projects(), ip, at, (20, 6 * HOUR), (60, 24 * HOUR)).select("request_id", "status", "error", "project_id", "stored", "charge")

@@ -71,11 +71,44 @@ def test_salted_join_equals_plain_join(spark, how):
     big = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 7}" if i % 5 else None) for i in range(400)], "i int, k string")
     few = spark.createDataFrame([("hot", "x"), ("hot", "y"), ("k2", "z"), ("zz", "w")], "k string, v string")
     plain = big.join(few, "k", how)
-    salted = salted_join(big, few, ["k"], how, min_rows=20, salts=8)
+    salted = salted_join(big, few, ["k"], how, min_rows=20)
     assert sorted(map(str, salted.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
     assert hot_keys(big, ["k"], 100).count() == 1
 
 
+def test_many_hot_keys_are_all_split(spark):
+    big = spark.range(600 * 40 + 900).select(F.when(F.col("id") < 24_000, F.col("id") % 600).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    hot = {r["_hash"]: r["_parts"] for r in hot_keys(big, ["k"], 10).collect()}
+    keys = {r["h"] for r in spark.range(600).select(F.xxhash64("id").alias("h")).collect()}
+    assert set(hot) == keys and set(hot.values()) == {4}
+    few = spark.range(700).select(F.col("id").alias("k"), F.lit("x").alias("w"))
+    joined = salted_join(big, few, ["k"], min_rows=10)
+    assert joined.count() == 24_000
+    plan = hot_keys(big, ["k"], 10)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "approx_top_k" in plan
+
+
+def test_key_filter_lets_every_key_pass(spark):
+    from logloom.operators.skew import key_filter
+    keys = spark.createDataFrame([(f"k{i}", i % 3) for i in range(500)] + [(None, 1)], "a string, b int")
+    rows = spark.createDataFrame([(f"k{i}", i % 3) for i in range(5000)] + [(None, 1), ("k1", None)], "a string, b int")
+    held = rows.where(key_filter(keys, ["a", "b"])(F.col("a"), F.col("b")))
+    assert held.join(keys, ["a", "b"], "left_semi").count() == 500 and held.count() < 510
+    assert rows.where(key_filter(keys.limit(0), ["a"])(F.col("a"))).count() == 0
+
+
+def test_preceding_over_years_without_ranking_a_project(spark):
+    rng = random.Random(4)
+    rows = [(f"e{i:04}", "p", rng.choice(["c", ""]), f"{rng.choice([1999, 2023, 2024])}-{rng.choice([1, 12]):02}-{rng.choice([1, 31]):02}T0{rng.randrange(2)}:{rng.randrange(3):02}:00", None, None) for i in range(400)]
+    rows += [("odd", "p", "c", "yesterday", None, None), ("void", "p", "c", "", None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = correlate.preceding(df, df, 7).collect()
+    assert {r["id"]: [o["id"] for o in r["around"]] for r in got} == {k: v for k, v in brute(rows, 7).items()}
+    some = df.where("id like '%7'")
+    part = correlate.preceding(some, df, 7).collect()
+    assert {r["id"]: [o["id"] for o in r["around"]] for r in part} == {k: v for k, v in brute(rows, 7).items() if k.endswith("7")}
+
+
 def test_evidence_budget(spark):
     rows = [("a", "p", "c", "2024-01-01T00:00:00Z", None, None, "error", "m" * 30000, "x" * 90000, "production", None, "1.0", None)]
     df = spark.createDataFrame(rows, SCHEMA + ", level string, message string, context string, environment string, framework string, release string, host string")

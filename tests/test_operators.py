@@ -300,3 +300,22 @@ def test_open_counters_know_only_the_past(spark):
     hits = spark.createDataFrame([(i, "k", ms, 1) for i, ms in enumerate((0, 1000, 2000, 8000))], "hit_id bigint, key string, ms bigint, charge bigint")
     count = lambda limit, mode: [r["count"] for r in quota.open_windows(hits, limit, 10_000, 1500, mode).collect()]
     assert count(5, "memory") == [2] and count(1, "memory") == [1] and count(1, "shared") == [2]
+
+
+def test_category_tree_by_doubling(spark):
+    rows = [(0, None, "r")] + [(i, i - 1, f"n{i}") for i in range(1, 37)] + [(100, 200, "lost"), (101, 100, "loster"), (300, 301, "a"), (301, 300, "b"), (302, 301, "c"), (400, None, "s")]
+    got = {r["id"]: (r["depth"], r["path"]) for r in commerce.category_tree(spark.createDataFrame(rows, "id int, parent_id int, name string")).collect()}
+    expect = {i: (i, " / ".join(["r", *(f"n{j}" for j in range(1, i + 1))])) for i in range(37)} | {400: (0, "s")}
+    assert got == expect
+
+
+def test_a_parent_with_most_children_is_spread(spark, monkeypatch):
+    from logloom.operators import skew
+    parents = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "k int, name string")
+    children = spark.createDataFrame([(1, i) for i in range(300)] + [(2, 0), (9, 5), (None, 7)], "k int, v int")
+    salted = lambda *args, **kw: skew.salted_join(*args, **kw, min_rows=20)
+    monkeypatch.setattr(relations, "salted_join", salted)
+    rows = relations.with_related(parents, children, "k", ["v"]).collect()
+    assert [c for c in rows[0].asDict()] == ["k", "name", "position", "v"]
+    assert sorted(r["v"] for r in rows if r["k"] == 1) == list(range(300)) and sorted(r["position"] for r in rows if r["k"] == 1) == list(range(300))
+    assert sorted((str(r["k"]), r["name"], r["v"]) for r in rows if r["k"] != 1) == [("2", "b", 0), ("3", "c", None), ("None", "d", None)]
