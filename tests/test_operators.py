@@ -316,6 +316,6 @@ def test_a_parent_with_most_children_is_spread(spark, monkeypatch):
     salted = lambda *args, **kw: skew.salted_join(*args, **kw, min_rows=20)
     monkeypatch.setattr(relations, "salted_join", salted)
     rows = relations.with_related(parents, children, "k", ["v"]).collect()
-    assert [c for c in rows[0].asDict()] == ["k", "name", "position", "v"]
+    assert [c for c in rows[0].asDict()] == ["k", "name", "v", "position"]
     assert sorted(r["v"] for r in rows if r["k"] == 1) == list(range(300)) and sorted(r["position"] for r in rows if r["k"] == 1) == list(range(300))
     assert sorted((str(r["k"]), r["name"], r["v"]) for r in rows if r["k"] != 1) == [("2", "b", 0), ("3", "c", None), ("None", "d", None)]
