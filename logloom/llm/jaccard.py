@@ -10,8 +10,9 @@ With tokens ordered by rarity that prefix meets few other documents.
    Tokens of one set only can't be shared; they take their places in the prefix and are dropped.
 3. *Groups.* Sets of equal size and equal prefix form a group. Members are compared with the group's leader, and groups with a
    hub of each token they share: candidates grow with the rows, not with the square of a token's group.
-4. *Rest.* What the verified links connect already needs no more comparison. All other pairs that share a prefix token, expanded to
-   members, pass the size and position filters and are verified; so no link between separate components is missed.
+4. *Rest.* What the verified links connect already needs no more comparison. At the tokens that sets of several components share, a few hubs settle
+   all sets whose further tokens lie in the hub (see ``_covered``). All other pairs that share a prefix token pass the size and position
+   filters and are verified; so no link between separate components is missed.
 
 ``similar_documents`` gives the components, ``similar_pairs`` every link: pairs of groups are filtered, expanded and verified, those inside a
 component too.
@@ -43,6 +44,8 @@ PERCENT = 80
 # The counted part of the hash range, in 256ths, and the bit field's size: 2 ** BITS bits are 16 MB.
 COUNTED = 80
 BITS = 27
+# Hubs a token gets before the sets that none of them covers are compared with each other.
+ROUNDS = 2
 
 
 def _sets(data: np.ndarray, borders: np.ndarray, shingle: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
@@ -181,6 +184,47 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return cut(both.filter(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b"))
 
 
+def _covered(spots: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links of sets to hubs of their tokens, and the spots whose pairs these links don't settle.
+
+    In each of ``ROUNDS`` rounds the set with the least share of tokens of its own is a token's hub ``h``, and all others are compared with it. Let ``x`` and ``y`` be
+    similar, the token the first they share, and all they share lie in ``h``, which is so if the tokens of ``x`` behind the token do: ``x`` is
+    *covered*. Then ``y`` shares no less with ``h`` than with ``x``. So
+
+    - ``y`` is similar to ``h`` if ``h`` is no larger than ``x``. If ``x`` is similar to ``h`` too, the hub connects the pair;
+    - if ``x`` is smaller, that holds for all ``y`` that are similar to ``h``. Those that are not, but share enough for some set of the token's sizes, are
+      *loose*; where a token has none, the hub connects all pairs of ``x``;
+    - if ``x`` itself shares too little with ``h`` for any size (it is *weak*), it has no partner at the token.
+
+    Such spots of ``x`` need no other partner, and neither do spots with too few tokens left. In a group of near copies one hub settles nearly all
+    spots, in time that grows with the spots.
+    """
+    alive, found = spots, None
+    for _ in range(ROUNDS):
+        hubs = alive.groupBy("token").agg(F.min_by(F.struct("node", "n"), F.struct(F.col("place") - F.col("at"), "n", "node")).alias("hub"), F.min("n").alias("low"))
+        near = alive.join(hubs, "token").filter(F.col("node") != F.col("hub.node"))
+        need = _least_overlap(F.col("n"), F.greatest(F.col("low"), F.ceil(F.col("n") * F.lit(percent) / F.lit(100) - F.lit(1e-9))), percent)
+        near = cut(near.withColumn("need", need).filter(F.col("n") - F.col("place") >= F.col("need")))
+        sized = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
+        pairs = near.filter(sized).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+        side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("t_a", "t_b"))).withColumn("other", F.array_except("t_a", "t_b"))
+        # the place, from 0, of the last token that the hub lacks
+        seen = cut(both.select("a", "b", "shared", (100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("linked"),
+                               F.when(F.size("other") > 0, F.array_position("t_a", F.element_at("other", -1)) - 1).otherwise(F.lit(-1)).alias("last")))
+        links = seen.filter("linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = links if found is None else found.unionByName(links)
+        of = seen.select(F.col("a").alias("node"), F.col("b").alias("hub_node"), "shared", "linked", "last")
+        judged = near.withColumn("hub_node", F.col("hub.node")).join(of, ["node", "hub_node"], "left")
+        covered, weak = F.col("last") < F.col("at"), F.col("shared") < F.col("need")
+        judged = cut(judged.select(*spots.columns, F.coalesce(covered & (weak | (F.col("linked") & (F.col("n") >= F.col("hub.n")))), F.lit(False)).alias("settled"),
+                                   F.coalesce(covered & F.col("linked"), F.lit(False)).alias("smaller"), F.coalesce(~F.col("linked") & ~weak, F.lit(True)).alias("loose")))
+        open_ = judged.filter(~F.col("settled"))
+        loose = judged.filter("loose").select("token", F.lit(True).alias("some_loose")).distinct()
+        alive = cut(open_.join(loose, "token", "left").filter(~F.col("smaller") | F.col("some_loose").isNotNull()).select(*spots.columns))
+    return found.distinct(), alive
+
+
 def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``node`` and ``label`` of all sets that have links; labels are equal exactly where similar pairs connect the sets."""
     groups = sets.groupBy("n", "alone", "prefix").agg(F.min("node").alias("leader"), F.count("*").alias("members"))
@@ -199,17 +243,17 @@ def linked_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = verified(inside.unionByName(across).distinct(), sets, percent)
 
     known = least_labels(first)
-    members = _spots(sets.select("node", "n", "alone", "prefix"), "node").join(known, "node", "left").select("token", "node", "n", "place", F.coalesce("label", "node").alias("label"))
+    members = _spots(sets.select("node", "n", "alone", "prefix"), "node").join(known, "node", "left").select("token", "node", "n", "at", "place", F.coalesce("label", "node").alias("label"))
     members = cut(members)
     sizes = members.groupBy("token", "label").agg(F.count("*").alias("found"))
     main = sizes.groupBy("token").agg(F.max_by("label", F.struct("found", "label")).alias("main"), F.count("*").alias("labels")).filter(F.col("labels") > 1).select("token", "main")
-    mixed_tokens = members.join(main, "token")
-    few = mixed_tokens.filter(F.col("label") != F.col("main")).select("token", F.struct("node", "n", "place", "label").alias("x"))
-    every = mixed_tokens.select("token", F.struct("node", "n", "place", "label").alias("y"))
+    links, alive = _covered(members.join(main, "token"), sets, percent)
+    few = alive.filter(F.col("label") != F.col("main")).select("token", F.struct("node", "n", "place", "label").alias("x"))
+    every = alive.select("token", F.struct("node", "n", "place", "label").alias("y"))
     rest = few.join(every, "token").filter((F.col("x.label") != F.col("y.label")) & _fits("x", "y", percent))
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     # What the rest connects are components already, so their labels take the place of the sets.
-    late = verified(rest, sets, percent)
+    late = verified(rest, sets, percent).unionByName(links)
     of = lambda x: known.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
     named = late.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label_b"))
     joined = least_labels(named.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("joined"))
@@ -247,12 +291,14 @@ def linked_pairs(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def similar_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per link of two distinct sets: ``class_a`` < ``class_b``, their least keys. Copies are not linked here, they share a class.
-    The rows grow with the links, of which a large group of near copies has the square of its sets."""
+    The rows grow with the links, of which a large group of near copies has the square of its sets. A class whose keys are all null is named null, and stands as ``class_a``;
+    a key that stands with several different texts names several classes."""
     held = docs.select(F.col(id_column).alias("id"), described(F.col(text_column), None, shingle).alias("s")).filter(F.col("s.n") > 0)
     classes = cut(held.groupBy(F.col("s.node").alias("node")).agg(F.min("id").alias("class_id")))
     of = lambda x: classes.select(F.col("node").alias(x), F.col("class_id").alias(f"class_{x}"))
     links = linked_pairs(prefixed_sets(docs, text_column, shingle, percent), percent).join(of("a"), "a").join(of("b"), "b")
-    return links.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"))
+    some = F.col("class_a").isNull() | F.col("class_b").isNull()
+    return links.select(F.when(~some, F.least("class_a", "class_b")).alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"))
 
 
 # The query in SQL: shingles as text, all pairs that share one, and reachability.

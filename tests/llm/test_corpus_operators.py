@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -146,6 +147,31 @@ def test_similar_documents(spark, odd, none):
     assert jaccard.similar_documents(none).count() == 0
 
 
+def test_similar_documents_at_the_threshold(spark):
+    """Clusters of edited copies whose members are similar or not by a word or two, of several sizes, some around a common half."""
+    r = random.Random(8)
+    rows = []
+    for c in range(24):
+        base, other = prose(1000 + c, r.choice([40, 60, 90, 140])), prose(2000 + c, 30)
+        for k in range(16):
+            words = list(base if k % 4 or c % 2 else base[: len(base) // 2] + other)
+            for _ in range(r.randint(0, max(1, len(words) // 20))):
+                at = r.randrange(len(words))
+                words[at: at + r.choice([0, 1, 1, 3])] = r.choice([[], [f"w{r.randrange(4)}"], [f"v{r.random()}"], prose(r.randrange(9), 2)])
+            rows.append((100 * c + k, " ".join(words), "en"))
+    docs = documents(spark, rows)
+    plain = sorted(_plain_components([(i, t) for i, t, _ in rows]))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.similar_documents(docs).collect()) == plain
+    assert 24 < len({x[2] for x in plain}) < len(rows) - 24
+
+
+def test_pairs_of_rows_without_keys(spark):
+    """Probe of three similar sets of which one has no key."""
+    base = prose(77, 80)
+    docs = documents(spark, [(None, " ".join(base), "en"), (5, " ".join([*base[:-1], "x"]), "en"), (7, " ".join([*base[:-1], "y"]), "en")])
+    assert sorted(((r["class_a"], r["class_b"]) for r in jaccard.similar_pairs(docs).collect()), key=str) == [(5, 7), (None, 5), (None, 7)]
+
+
 def test_similar_documents_query(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
     plain = sorted(_plain_components([(r["doc_id"], r["text"]) for r in docs]))
