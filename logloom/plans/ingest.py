@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import levels, text, times
+from ..functions.display import pretty_json
 from ..operators import fixwork, ingest, issues, stream_query
 from ..sources import io
 from ..sources.tables import AS_OF
@@ -191,10 +192,14 @@ def relative_time(t):
     return t.log_entries().select("id", times.relative(times.event_ts(F.col("timestamp")), AS_OF).alias("ago"))
 
 
-@query("a19_json_display")
+@query("a19_json_display", """select id, coalesce(shown, '') as shown from (select id, '{' || chr(10) || array_to_string(list_transform(json_keys(c), lambda k: '  "' || k || '": ' || case json_type(c, '$.' || k) when 'OBJECT' then
+    '{' || chr(10) || array_to_string(list_transform(json_keys(c, '$.' || k), lambda m: '    "' || m || '": ' || cast(json_extract(c, '$.' || k || '.' || m) as varchar)), ',' || chr(10)) || chr(10) || '  }'
+    else cast(json_extract(c, '$.' || k) as varchar) end), ',' || chr(10)) || chr(10) || '}' as shown
+  from (select id, cast('{"z":' || context || ',"user":' || user_context || ',"level":"' || level || '","a":null}' as json) as c from log_entries))""")
 def json_display(t):
-    c = F.col("context")
-    return t.log_entries().select("id", F.coalesce(F.to_json(F.try_parse_json(c)), c, F.lit("")).alias("shown"))
+    """Context and user of every entry in one object, keys in their order."""
+    both = F.concat(F.lit('{"z":'), "context", F.lit(',"user":'), "user_context", F.lit(',"level":"'), "level", F.lit('","a":null}'))
+    return t.log_entries().select("id", pretty_json(both).alias("shown"))
 
 
 @query("a20_secret_masking", """select c.id, regexp_extract(webhook_url, '^https?://([^/]+)', 1) || '/…' || right(webhook_url, 4) as webhook,

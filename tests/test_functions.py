@@ -167,3 +167,18 @@ def test_search_wildcards(spark, term, texts):
     df = spark.createDataFrame([(t,) for t in texts], "message string")
     got = {r["message"]: r["x"] for r in df.select("message", F.col("message").ilike(text.like_pattern(term)).alias("x")).collect()}
     assert got == texts
+
+
+@pytest.mark.parametrize("stored, shown", [
+    (None, ""), ("", ""), ("{}", "{}"), ("[]", "[]"), ("not json", "not json"), ('{"a":NaN}', '{"a":NaN}'), ('"x"', '"x"'), ("null", "null"),
+    ('{"b":1,"a":{"d":[],"c":{}}}', '{\n  "b": 1,\n  "a": {\n    "d": [],\n    "c": {}\n  }\n}'),
+    ('[1, [true, null]]', "[\n  1,\n  [\n    true,\n    null\n  ]\n]"),
+    ('{"b":1,"10":2,"2":3,"b":4}', '{\n  "2": 3,\n  "10": 2,\n  "b": 4\n}'),
+    ("[1.0,1e3,0.00001,1e-7,12345678901234567890,1e21,-0.0,1.50,1e999]", "[\n  1,\n  1000,\n  0.00001,\n  1e-7,\n  12345678901234567000,\n  1e+21,\n  0,\n  1.5,\n  null\n]"),
+    ('{"s":"é\\u0001\\n😀/"}', '{\n  "s": "é\\u0001\\n😀/"\n}'), ("[" * 60000, "[" * 60000),
+])
+def test_json_display(one, stored, shown):
+    from logloom.functions.display import indented, pretty_json
+    assert indented(stored) == shown
+    if stored is None or len(stored) < 100:
+        assert one(pretty_json(F.col("c")), c=stored) == shown
