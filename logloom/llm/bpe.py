@@ -48,6 +48,19 @@ END = "</w>"
 END_MARK = np.uint64(0x5851F42D4C957F2D)
 
 LETTER, DIGIT, SPACE, OTHER = 0, 1, 2, 3
+# Ranges that the tokenizer's library holds for letters and digits, assigned after Unicode 15.1.
+LATER_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)]
+LATER_DIGITS = [
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+# Ranges of later capitals in that library, and how far their small letters are.
+LATER_CAPITALS = [
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1),
+    (0xA7DC, 0xA7DC, -42561), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27)]
+_SMALL = {chr(c): chr(c + far) for a, b, far in LATER_CAPITALS for c in range(a, b + 1)}
+_CAPITAL = re.compile(f"[{''.join(_SMALL)}]")
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -57,6 +70,9 @@ def _kinds() -> np.ndarray:
     first = {"L": LETTER, "N": DIGIT}
     out = np.fromiter((first.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
     out[_WHITE] = SPACE
+    for kind, ranges in ((LETTER, LATER_LETTERS), (DIGIT, LATER_DIGITS)):
+        for a, b in ranges:
+            out[a: b + 1] = kind
     return out
 
 
@@ -363,6 +379,7 @@ class Encoder:
         for t in texts:
             if not t.isascii():
                 t = unicodedata.normalize("NFC", t).replace("Σ", "σ")
+                t = _CAPITAL.sub(lambda m: _SMALL[m[0]], t)
             lowered.append(t.lower())
         joined = "\n".join(lowered)
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)

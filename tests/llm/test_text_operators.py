@@ -115,6 +115,20 @@ def test_bpe_matches_the_library(vocabulary, library):
         assert own.tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_bpe_matches_the_library_at_every_code_point(vocabulary, library):
+    """After a letter and after a sign, so that its kind decides where words end."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = [f"a{c} !{c}" for c in points]
+    encoder = bpe.Encoder(vocabulary)
+    wrong = []
+    for at in range(0, len(texts), 50_000):
+        some = texts[at: at + 50_000]
+        ids, counts = encoder.encode_all(some)
+        known = library.encode_batch(some, add_special_tokens=False)
+        wrong += [hex(ord(points[at + i])) for i, (own, e) in enumerate(zip(np.split(ids, np.cumsum(counts)[:-1]), known, strict=True)) if own.tolist() != e.ids]
+    assert not wrong
+
+
 def test_bpe_verification_is_exact(vocabulary):
     """A greedy proposal passes if and only if it is what merging gives."""
     r = random.Random(6)
