@@ -113,23 +113,52 @@ def distinct_attribute(hits: DataFrame, attribute: str, order: list[Column]) ->
     return hits.withColumn("_rn", rank).where("_rn = 1").drop("_rn")
 
 
-def rank_columns(costs: list[Column], places: list[Column]) -> dict[str, Column]:
-    """Ranking keys in rule order, from the cost and first exact position of each term.
+def positions(words: Column, term: str) -> Column:
+    """Places of a term among the words, from 1, in order."""
+    at = F.filter(F.transform(words, lambda w, i: F.when(w == term, i + 1)), lambda p: p.isNotNull())
+    return F.coalesce(at, F.array().cast("array<int>"))
 
-    words: terms found (more is better); typo: summed edits; proximity: distance of the
-    first exact positions of neighbouring terms, at most 8 a pair; attribute: first exact
-    position, at most 1000; exactness: terms found without edits (more is better).
+
+def smallest_window(lists: list[Column]) -> Column:
+    """Words in the smallest stretch that holds a place of each list; empty lists are left out, NULL when all are empty.
+
+    One walk over all places in order: the stretch that ends at a place begins at the earliest of the lists' last places up to
+    it, so the work follows the occurrences, not their combinations.
+    """
+    def marked(at: Column, number: int) -> Column:
+        return F.transform(at, lambda p: F.struct(p.alias("at"), F.lit(number).alias("list")))
+
+    places = F.array_sort(F.flatten(F.array(*[marked(at, i) for i, at in enumerate(lists)])))
+    needed = sum((F.size(at) > 0).cast("int") for at in lists)
+    names = [f"l{i}" for i in range(len(lists))]
+    none = F.lit(None).cast("int")
+
+    def step(state: Column, place: Column) -> Column:
+        last = [F.when(place["list"] == i, place["at"]).otherwise(state[n]) for i, n in enumerate(names)]
+        seen = F.array_compact(F.array(*last))
+        width = F.when(F.size(seen) == needed, place["at"] - F.array_min(seen) + 1)
+        return F.struct(*[c.alias(n) for c, n in zip(last, names)], F.least(state["best"], width).alias("best"))
+
+    start = F.struct(*[none.alias(n) for n in names], none.alias("best"))
+    return F.aggregate(places, start, step, lambda state: state["best"])
+
+
+def rank_columns(costs: list[Column], lists: list[Column]) -> dict[str, Column]:
+    """Ranking keys in rule order, from the cost and the exact places of each term.
+
+    words: terms found (more is better); typo: summed edits; proximity: words in the smallest stretch that holds every term that is
+    found exactly, less the number of these terms (0: they stand side by side; NULL, last: fewer than two are there);
+    attribute: first exact place (NULL, last: none); exactness: terms found without edits (more is better). Texts are read whole.
     """
     found = [c.isNotNull().cast("int") for c in costs]
     edits = [F.coalesce(c, F.lit(0)) for c in costs]
     exact = [F.coalesce((c == 0).cast("int"), F.lit(0)) for c in costs]
-    gaps = [F.when((a > 0) & (b > 0), F.least(F.lit(8), F.abs(a - b))).otherwise(8) for a, b in zip(places, places[1:])]
-    first = F.array_min(F.array(*[F.when(p > 0, p) for p in places]))
+    held = sum((F.size(at) > 0).cast("int") for at in lists)
     return {
         "words": sum(found[1:], found[0]),
         "typo": sum(edits[1:], edits[0]),
-        "proximity": sum(gaps[1:], gaps[0]) if gaps else F.lit(0),
-        "attribute": F.least(F.coalesce(first, F.lit(1000)), F.lit(1000)),
+        "proximity": F.when(held > 1, smallest_window(lists) - held),
+        "attribute": F.array_min(F.transform(F.array(*lists), lambda at: F.get(at, 0))),
         "exactness": sum(exact[1:], exact[0]),
     }
 
@@ -140,13 +169,13 @@ def ranked(df: DataFrame, text: str, query: str, limit: int, sort: list[Column],
     Rows without a term sort last, so they are dropped after the cut to ``limit``; before
     it, the filter would be pushed down and score every row twice.
     """
-    terms = query_terms(query)
+    terms = list(dict.fromkeys(query_terms(query)))
     words = df.withColumn("_words", tokens(F.col(text))).withColumn("_uniq", F.array_distinct("_words"))
     measured = words.select(
         *df.columns, *[term_cost(F.col("_uniq"), t, allowed_typos(t)).alias(f"_c{i}") for i, t in enumerate(terms)],
-        *[F.array_position("_words", t).cast("int").alias(f"_p{i}") for i, t in enumerate(terms)])
+        *[positions(F.col("_words"), t).alias(f"_p{i}") for i, t in enumerate(terms)])
     keys = rank_columns([F.col(f"_c{i}") for i in range(len(terms))], [F.col(f"_p{i}") for i in range(len(terms))])
-    order = [F.desc("words"), F.asc("typo"), F.asc("proximity"), F.asc("attribute"), *sort, F.desc("exactness"), F.asc(tie)]
+    order = [F.desc("words"), F.asc("typo"), F.asc_nulls_last("proximity"), F.asc_nulls_last("attribute"), *sort, F.desc("exactness"), F.asc(tie)]
     return measured.select(*df.columns, *[v.alias(k) for k, v in keys.items()]).orderBy(*order).limit(limit).where("words > 0")
 
 

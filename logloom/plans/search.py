@@ -69,12 +69,14 @@ def distinct_attribute(t):
     return search.distinct_attribute(hits, "source", [F.desc("n_chars"), col("doc_id")])
 
 
-_RANK = f"""{_DOCS}, c as (select doc_id, n_chars, {_cost_sql('w', 'heention', 1)} as c1, {_cost_sql('w', 'that', 0)} as c2, coalesce(list_position(w, 'heention'), 0) as p1, coalesce(list_position(w, 'that'), 0) as p2 from d),
-  k as (select doc_id, n_chars, cast((c1 is not null)::integer + (c2 is not null)::integer as integer) as words, cast(coalesce(c1, 0) + coalesce(c2, 0) as integer) as typo, cast(case when p1 > 0 and p2 > 0 then least(8, abs(p1 - p2)) else 8 end as integer) as proximity,
-    cast(least(1000, case when p1 > 0 and p2 > 0 then least(p1, p2) when p1 > 0 then p1 when p2 > 0 then p2 else 1000 end) as integer) as attribute, cast((coalesce(c1, 9) = 0)::integer + (coalesce(c2, 9) = 0)::integer as integer) as exactness from c)"""
+_PLACES = "list_filter(range(1, len(w) + 1), lambda i: w[i] = '{}')"
+_RANK = f"""{_DOCS}, c as (select doc_id, n_chars, {_cost_sql('w', 'heention', 1)} as c1, {_cost_sql('w', 'that', 0)} as c2, {_PLACES.format('heention')} as l1, {_PLACES.format('that')} as l2 from d),
+  k as (select doc_id, n_chars, cast((c1 is not null)::integer + (c2 is not null)::integer as integer) as words, cast(coalesce(c1, 0) + coalesce(c2, 0) as integer) as typo,
+    cast(list_min(list_transform(l1, lambda a: list_min(list_transform(l2, lambda b: abs(a - b))))) - 1 as integer) as proximity,
+    cast(list_min(list_concat(l1, l2)) as integer) as attribute, cast((coalesce(c1, 9) = 0)::integer + (coalesce(c2, 9) = 0)::integer as integer) as exactness from c)"""
 
 
-@query("b39_ranking", f"with {_RANK} select doc_id, words, typo, proximity, attribute, exactness from k where words > 0 order by words desc, typo, proximity, attribute, n_chars desc, exactness desc, doc_id limit 100")
+@query("b39_ranking", f"with {_RANK} select doc_id, words, typo, proximity, attribute, exactness from k where words > 0 order by words desc, typo, proximity nulls last, attribute nulls last, n_chars desc, exactness desc, doc_id limit 100")
 def ranking(t):
     return search.ranked(t.heavy.documents.select("doc_id", "n_chars", "text"), "text", "heention that", 100, [F.desc("n_chars")], "doc_id").select("doc_id", "words", "typo", "proximity", "attribute", "exactness")
 

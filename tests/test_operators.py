@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import itertools
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,3 +323,25 @@ def test_a_parent_with_most_children_is_spread(spark, monkeypatch):
     assert [c for c in rows[0].asDict()] == ["k", "name", "v", "position"]
     assert sorted(r["v"] for r in rows if r["k"] == 1) == list(range(300)) and sorted(r["position"] for r in rows if r["k"] == 1) == list(range(300))
     assert sorted((str(r["k"]), r["name"], r["v"]) for r in rows if r["k"] != 1) == [("2", "b", 0), ("3", "c", None), ("None", "d", None)]
+
+
+def test_ranking_by_the_smallest_window(spark):
+    """Places, windows and ranks against all combinations of places; one text has its terms far behind."""
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcdefg") for _ in range(r.randint(0, 14))) for _ in range(150)]
+    texts += ["", "x " * 5000 + "alpha " + "y " * 40 + "b a", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {x["id"]: x for x in search.ranked(df, "text", "a b c", 1000, [], "id").collect()}
+    for i, text in enumerate(texts):
+        words = (text or "").split()
+        lists = [[p for p, w in enumerate(words, 1) if w == t] for t in "abc"]
+        held = [at for at in lists if at]
+        if not held:
+            assert i not in got
+            continue
+        window = min(max(p) - min(p) + 1 for p in itertools.product(*held))
+        row = got[i]
+        assert (row["words"], row["proximity"]) == (len(held), window - len(held) if len(held) > 1 else None)
+        assert row["attribute"] == min(at[0] for at in held)
+    keys = [(-x["words"], math.inf if x["proximity"] is None else x["proximity"], x["attribute"], i) for i, x in got.items()]
+    assert keys == sorted(keys) and got[151]["proximity"] == 0 and got[151]["attribute"] == 5042
