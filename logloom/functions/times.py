@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,3 +60,37 @@ def relative(then: Column, as_of: str | Column) -> Column:
             .when(mins < 60, F.concat(mins.cast("string"), F.lit("m ago")))
             .when(hours < 24, F.concat(hours.cast("string"), F.lit("h ago")))
             .otherwise(F.concat(days.cast("string"), F.lit("d ago"))))
+
+
+# Least and greatest digits in the shape of a time text; signs stand for themselves.
+_LEAST, _GREATEST = "0000-00-00T00:00:00.000Z", "9999-99-99T99:99:99.999Z"
+
+
+def order_key(timestamp: Column) -> Column:
+    """A number that orders as the time text does: of two texts the smaller never has the greater number.
+
+    Texts of the shape ``yyyy-MM-ddTHH:mm:ss.SSSZ`` give their 17 digits, each its own number. Any other text gives the number of the nearest text of that shape
+    on the far side of where it leaves the shape: it keeps the part that fits and goes on with the least digits, if its next sign is
+    too small, or with the greatest. So other texts may share a number; who needs their order compares the texts. NULL gives -1.
+    """
+    shape = ""
+    for sign in reversed(_LEAST):
+        shape = f"(?:{'[0-9]' if sign == '0' else re.escape(sign)}{shape})?"
+    head = F.regexp_extract(timestamp, f"^{shape}", 0)
+    at = F.length(head) + 1
+    rest = F.when(F.substring(timestamp, at, F.lit(1)) < F.substring(F.lit(_LEAST), at, F.lit(1)), F.substring(F.lit(_LEAST), at, F.lit(24)))
+    fitted = F.concat(head, rest.otherwise(F.substring(F.lit(_GREATEST), at, F.lit(24))))
+    usual = F.regexp_replace(timestamp, "[-T:.Z]", "").cast("bigint")
+    return F.coalesce(F.when(timestamp.rlike(f"^{re.sub('0', '[0-9]', _LEAST.replace('.', '[.]'))}$"), usual).otherwise(F.regexp_replace(fitted, "[-T:.Z]", "").cast("bigint")), F.lit(-1).cast("bigint"))
+
+
+def key_text(key: Column) -> Column:
+    """The time text of the usual shape whose ``order_key`` is ``key``."""
+    digits, at, parts = F.lpad(key.cast("string"), 17, "0"), 1, []
+    for run in re.split("([0-9]+)", _LEAST):
+        if run.isdigit():
+            parts.append(F.substring(digits, at, len(run)))
+            at += len(run)
+        elif run:
+            parts.append(F.lit(run))
+    return F.concat(*parts)

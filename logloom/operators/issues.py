@@ -11,19 +11,63 @@ from pyspark.sql import functions as F
 
 from ..functions import times
 from .fixwork import with_fingerprint
-from .skew import HOT_ROWS, salted_join
+from .lineage import cut
+from .skew import HOT_ROWS, key_filter, salted_join
 
 _ISSUE = ["project_id", "fingerprint"]
 
 
+def _numbers(entries: DataFrame) -> DataFrame:
+    """Per issue the events, those whose time is not what its order key says, and the order keys of the first and last time: numbers only, so the fold is
+    a hash aggregate and no text is sorted or shuffled."""
+    key = times.order_key(F.col("timestamp"))
+    odd = ~F.col("timestamp").eqNullSafe(times.key_text(F.col("key")))
+    keyed = with_fingerprint(entries).select(*_ISSUE, "timestamp", key.alias("key"))
+    return cut(keyed.groupBy(*_ISSUE).agg(F.count("*").alias("events"), F.count_if(odd).alias("odd"), F.min("key").alias("first_key"), F.max("key").alias("last_key")))
+
+
+def _at_key(entries: DataFrame, numbers: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Events of every issue whose order key is that in ``key``.
+
+    The scan first drops rows whose project and key no issue asks for, by a filter of fixed size; shapes are made only of the rows left.
+    """
+    asked = numbers.select("project_id", F.col(key).alias("key"))
+    rows = entries.select("project_id", "level", "channel", "message", *[c for c in columns if c not in ("level", "channel", "message")], times.order_key(F.col("timestamp")).alias("key"))
+    held = F.col("project_id").isNull() | key_filter(asked, ["project_id", "key"])(F.col("project_id"), F.col("key"))
+    near = with_fingerprint(rows.where(held)).alias("e")
+    n = numbers.select(*_ISSUE, F.col(key).alias("key")).alias("n")
+    same = F.col("e.project_id").eqNullSafe(F.col("n.project_id")) & (F.col("e.fingerprint") == F.col("n.fingerprint")) & (F.col("e.key") == F.col("n.key"))
+    return near.join(n, same, "left_semi").select(*_ISSUE, *columns)
+
+
+def first_events(entries: DataFrame, numbers: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the earliest event of every issue, by time text and id. Among events of one order key a rank filter decides, which prunes in the map task."""
+    rank = F.row_number().over(Window.partitionBy(*_ISSUE).orderBy("timestamp", "id"))
+    near = _at_key(entries, numbers, "first_key", list(dict.fromkeys(["timestamp", "id", *columns])))
+    return near.withColumn("_rn", rank).where("_rn = 1").select(*_ISSUE, *columns)
+
+
+def _join_issue(numbers: DataFrame, side: DataFrame, how: str) -> DataFrame:
+    side = side.withColumnsRenamed({c: f"_{c}" for c in _ISSUE})
+    same = F.col("project_id").eqNullSafe(F.col("_project_id")) & (F.col("fingerprint") == F.col("_fingerprint"))
+    return numbers.join(side, same, how).drop(*[f"_{c}" for c in _ISSUE])
+
+
 def issue_rollup(entries: DataFrame) -> DataFrame:
-    """One row per (project, shape): events, first and last time, title, release, level, channel and environment of the first event."""
-    first = F.struct("message", "release", "level", "channel", "environment")
-    rows = with_fingerprint(entries).groupBy(*_ISSUE).agg(
-        F.count("*").alias("events"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
-        F.min_by(first, F.struct("timestamp", "id")).alias("first"))
-    return rows.select(*_ISSUE, "events", "first_seen", "last_seen", F.col("first.message").alias("title"), F.col("first.release").alias("first_release"),
-                       "first.level", "first.channel", "first.environment")
+    """One row per (project, shape): events, first and last time, title, release, level, channel and environment of the first event; an event without a time comes first.
+
+    The first scan folds numbers, the second fetches the texts of first events only. A last time is written from its number;
+    a third scan reads it where an issue has times of another shape.
+    """
+    numbers = _numbers(entries)
+    texts = ["timestamp", "message", "release", "level", "channel", "environment"]
+    first = first_events(entries, numbers, texts).withColumnsRenamed({"timestamp": "first_seen", "message": "title", "release": "first_release"})
+    rows, last = _join_issue(numbers, first, "inner"), times.key_text(F.col("last_key"))
+    if not numbers.where("odd > 0").isEmpty():
+        latest = F.row_number().over(Window.partitionBy(*_ISSUE).orderBy(F.desc("timestamp")))
+        read = _at_key(entries, numbers.where("odd > 0"), "last_key", ["timestamp"]).withColumn("_rn", latest).where("_rn = 1")
+        rows, last = _join_issue(rows, read.select(*_ISSUE, F.col("timestamp").alias("_last")), "left"), F.when(F.col("odd") > 0, F.col("_last")).otherwise(last)
+    return rows.select(*_ISSUE, "events", "first_seen", last.alias("last_seen"), "title", "first_release", "level", "channel", "environment")
 
 
 def affected_users(entries: DataFrame, exact: bool = True) -> DataFrame:
@@ -43,8 +87,7 @@ def top_issues(issues: DataFrame, k: int = 10) -> DataFrame:
 
 def first_releases(entries: DataFrame) -> DataFrame:
     """Release of the earliest event of every issue."""
-    return with_fingerprint(entries).groupBy(*_ISSUE).agg(
-        F.min_by("release", F.struct("timestamp", "id")).alias("first_release"))
+    return first_events(entries, _numbers(entries), ["release"]).withColumnRenamed("release", "first_release")
 
 
 def issue_moments(entries: DataFrame, gap_days: int = 3) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from logloom.functions import times
 from logloom.operators import alerts, changes, commerce, delivery, fixwork, ingest, issues, quality, querylog, quota, relations, search
 from logloom.operators import stream_query as sq
 from logloom.sources import io
@@ -345,3 +346,41 @@ def test_ranking_by_the_smallest_window(spark):
         assert row["attribute"] == min(at[0] for at in held)
     keys = [(-x["words"], math.inf if x["proximity"] is None else x["proximity"], x["attribute"], i) for i, x in got.items()]
     assert keys == sorted(keys) and got[151]["proximity"] == 0 and got[151]["attribute"] == 5042
+
+
+def test_order_key_follows_the_text(spark):
+    r = random.Random(5)
+    base = ["2024-01-15T08:00:00.000Z", "2023-12-31T23:59:59.999Z", "2024-01-15T08:00:00.001Z", "9999-99-99T99:99:99.999Z"]
+    texts = [*base, "", "junk", "2024", "2024-01-15", "2024-01-15 08:00:00", "2024-01-15T08:00:00Z", "2024-01-15T08:00:00.000+02:00", "é", "~"]
+    for _ in range(400):
+        t = r.choice(base)
+        cut = r.randint(0, len(t))
+        texts.append(t[:cut] + r.choice(["", " ", "0", "5", "9", ":", "-", "Z", "z", "é"]) + t[cut + r.randint(0, 2):])
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    keys = sorted((x["t"].encode(), x["k"]) for x in df.select("t", times.order_key(F.col("t")).alias("k")).collect())
+    assert all(a[1] <= b[1] for a, b in zip(keys, keys[1:], strict=False))
+    assert len({k for t, k in keys if t.decode() in base}) == len(base)
+    assert spark.range(1).select(times.order_key(F.lit(None).cast("string")).alias("k")).first()["k"] == -1
+
+
+def test_first_events_over_odd_times_and_ties(spark):
+    """Against plain sorting; many events share a millisecond or have unreadable times, one project is NULL."""
+    r = random.Random(8)
+    moments = ["2024-01-15T08:00:00.000Z", "2024-01-15T08:00:00.001Z", "2024-01-15T08:00:00Z", "2024-01-15", "junk", "", "2024-02-01T00:00:00.000Z"]
+    rows = [(f"e{i}", r.choice(["p", "q", None]), r.choice(["error", "info"]), r.choice(["slow", "down", "gone"]), r.choice(["http", None]), r.choice(["prod", None]), r.choice(["1", "2", None]), r.choice(moments)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id string, project_id string, level string, message string, channel string, environment string, release string, timestamp string").repartition(5)
+    groups = {}
+    for x in fixwork.with_fingerprint(df).collect():
+        groups.setdefault((x["project_id"], x["fingerprint"]), []).append(x)
+    rolled = issues.issue_rollup(df)
+    got = {(x["project_id"], x["fingerprint"]): x for x in rolled.collect()}
+    released = {(x["project_id"], x["fingerprint"]): x["first_release"] for x in issues.first_releases(df).collect()}
+    assert got.keys() == groups.keys() == released.keys()
+    for k, events in groups.items():
+        first = min(events, key=lambda x: (x["timestamp"], x["id"]))
+        row = got[k]
+        assert (row["events"], row["first_seen"], row["last_seen"]) == (len(events), first["timestamp"], max(x["timestamp"] for x in events))
+        assert (row["title"], row["first_release"], row["channel"], row["environment"]) == (first["message"], first["release"], first["channel"], first["environment"])
+        assert released[k] == first["release"]
+    plan = rolled._jdf.queryExecution().toString()
+    assert "SortAggregate" not in plan
