@@ -6,7 +6,8 @@ the sizes must lie within t / (2 - t) of each other, so a unit meets only the te
 counts for its best template. A linked unit lacks few pairs of its template, so it has one of a few long words (the template's ``_cover``);
 texts and units without any are passed over before pairs are made, and none is lost.
 
-The opening paragraph of the BSD licenses tells nothing of its kind: it counts as BSD-2-Clause where the text has the second condition but not the third.
+The opening paragraph of the BSD licenses tells nothing of its kind, and the third condition goes by several wordings: opening and whole text count as BSD-2-Clause where
+the text has the second condition but no wording of the third.
 
 Everything happens inside a row: no shuffle, no join, no Python. Templates are literals.
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 import string
+from collections.abc import Callable
 from functools import cache
 from pathlib import Path
 
@@ -53,12 +55,16 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 
 BSD_OPENING = TEMPLATES[5][1]
+# Fixed value: how the third condition of the BSD licenses begins.
+BSD_THIRD = "neither the names? of|names? of [a-z0-9 ]{1,200} (?:may|must|shall) not be used"
 
 # Standard headers, next to the notices.
 HEADERS: list[tuple[str, str]] = [
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
@@ -107,27 +113,35 @@ def _lowered(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def _normalised(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(_lowered(text), "[^a-z0-9\n]+", " "), " *\n *", "\n")
+def _normalised(lowered: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(lowered, "[^a-z0-9\n]+", " "), " *\n *", "\n")
 
 
-def units(text: Column) -> Column:
-    """Distinct normalised lines, paragraphs, sentences, clauses and the whole of a text."""
-    plain = _normalised(text)
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _units(low: Column, plain: Column) -> Column:
     joined = lambda x: F.trim(F.regexp_replace(x, "\n+", " "))
     words = lambda x: F.regexp_replace(x, "[^a-z0-9]+", " ")
     parts = []
     for within in ("\n", "\n[^a-z0-9\n]*\n\\s*"):
         for marks in (".!?", ".!?:;"):
-            parts.append(F.transform(F.split(_lowered(text), f"[{marks}]+[^a-z0-9\n]*(?:\\s|$)|{within}"), words))
+            parts.append(F.transform(F.split(low, f"[{marks}]+[^a-z0-9\n]*(?:\\s|$)|{within}"), words))
     every = F.concat(F.split(plain, "\n"), F.transform(F.split(plain, "\n\n+"), joined), *parts, F.array(joined(plain)))
     return F.coalesce(F.array_distinct(F.transform(every, lambda u: F.trim(u))), F.array().cast("array<string>"))
 
 
+def units(text: Column) -> Column:
+    """Distinct normalised lines, paragraphs, sentences, clauses and the whole of a text."""
+    return _once(_lowered(text), lambda low: _once(_normalised(low), lambda plain: _units(low, plain)))
+
+
 def license_matches(text: Column, templates: list[tuple[str, str]] | None = None, least: float = LEAST_DICE) -> Column:
     """Array of ``license`` and ``dice``, one for each unit of the text that matches a template."""
     opening = "BSD"  # until the text has told which
-    every = [(opening if t == BSD_OPENING else name, t) for name, t in [*TEMPLATES, *HEADERS, *full_texts()]] if templates is None else templates
+    every = [*((opening if t == BSD_OPENING else name, t) for name, t in [*TEMPLATES, *HEADERS]), *((opening if name.startswith("BSD") else name, t) for name, t in full_texts())] if templates is None else templates
     known = [(name, _pairs(t)) for name, t in every]
     known = [(name, pairs, *_bounds(len(pairs), least)) for name, pairs in known if pairs]
     if not known:
@@ -147,11 +161,10 @@ def license_matches(text: Column, templates: list[tuple[str, str]] | None = None
         return F.array_min(rated)
 
     found = F.filter(F.transform(pairs, best), lambda m: m["minus"] <= -least)
-    plain = F.regexp_replace(_normalised(text), "\n+", " ")
-    kind = F.when(plain.contains("redistributions in binary form must reproduce") & ~plain.contains("neither the name"), "BSD-2-Clause").otherwise("BSD-3-Clause")
-    named = F.transform(found, lambda m: F.struct(F.when(m["license"] == opening, kind).otherwise(m["license"]).alias("license"), (-m["minus"]).alias("dice")))
-    if templates is not None:
-        named = F.transform(found, lambda m: F.struct(m["license"].alias("license"), (-m["minus"]).alias("dice")))
+    if templates is None:
+        found = _once(F.regexp_replace(_lowered(text), "[^a-z0-9]+", " "), lambda plain: F.transform(found, lambda m: F.struct(m["minus"], F.when(
+            m["license"] != opening, m["license"]).when(plain.contains("redistributions in binary form must reproduce") & ~plain.rlike(BSD_THIRD), "BSD-2-Clause").otherwise("BSD-3-Clause").alias("license"))))
+    named = F.transform(found, lambda m: F.struct(m["license"].alias("license"), (-m["minus"]).alias("dice")))
     promising = F.arrays_overlap(F.split(F.regexp_replace(_lowered(text), "[^a-z0-9]+", " "), " "), listed(sorted({w for c in covers for w in c})))
     return F.when(promising, named).otherwise(F.array().cast("array<struct<license: string, dice: double>>"))
 

@@ -252,7 +252,9 @@ def test_license_headers_and_texts(spark):
         ("Some words stand first. Released under the MIT License. More words follow here, and some more.", "MIT"),
         ("Some words stand first; a notice then: Licensed under CC BY-SA 4.0; more words follow here, and some more.", "CC-BY-SA-4.0"),
         ("Some words stand first. " + gpl.format("program", ";", "", ";", "2") + " More words follow.\nAnd some more.", "GPL-2.0"),
-        *((f"Some title\n\n{t}\n\nsome end", name) for name, t in licenses.full_texts() if name in ("LGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MIT", "Apache-2.0"))]
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC"),
+        *((re.sub(r"3\. Neither.*?(?=THIS SOFTWARE)", "3. The name of the author may not be used to endorse or promote products.\n\n", t, flags=re.S), name) for name, t in licenses.full_texts() if name == "BSD-3-Clause"),
+        *((f"Some title\n\n{t}\n\nsome end", name) for name, t in licenses.full_texts())]
     rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
     found = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(rows).collect()}
     assert found == {i: name for i, (_, name) in enumerate(cases)}
