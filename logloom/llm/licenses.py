@@ -165,7 +165,7 @@ def license_matches(text: Column, templates: list[tuple[str, str]] | None = None
         found = _once(F.regexp_replace(_lowered(text), "[^a-z0-9]+", " "), lambda plain: F.transform(found, lambda m: F.struct(m["minus"], F.when(
             m["license"] != opening, m["license"]).when(plain.contains("redistributions in binary form must reproduce") & ~plain.rlike(BSD_THIRD), "BSD-2-Clause").otherwise("BSD-3-Clause").alias("license"))))
     named = F.transform(found, lambda m: F.struct(m["license"].alias("license"), (-m["minus"]).alias("dice")))
-    promising = F.arrays_overlap(F.split(F.regexp_replace(_lowered(text), "[^a-z0-9]+", " "), " "), listed(sorted({w for c in covers for w in c})))
+    promising = F.arrays_overlap(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")), " "), listed(sorted({w for c in covers for w in c})))
     return F.when(promising, named).otherwise(F.array().cast("array<struct<license: string, dice: double>>"))
 
 
