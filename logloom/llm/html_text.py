@@ -5,7 +5,8 @@ and rows, the end of the head) and moves text that stands loose in a table befor
 browser does not show; of SVG it shows the text elements, each on lines of its own, and of MathML all but annotations. The renderer keeps block spacing, list markers with their indent, preformatted text, and tables with
 aligned cells. Both walk the tree without recursion, so depth is not limited.
 
-The work is local to a row: no shuffle; memory is bounded by a page.
+The work is local to a row: no shuffle. A table whose aligned rows would be mostly blanks (``MOST_PADDING``), as one with a single very wide cell, is written
+without padding, so a page's tables render to at most that many times its characters and memory is bounded by a page.
 
 Defined results: null html gives null, empty html and pages without visible text an empty text. Broken markup never fails: an end tag
 without start is passed over, open elements end with the page, an unfinished tag at the end is dropped. Repeated rows are rendered alike;
@@ -52,6 +53,8 @@ IMPLIED_ENDS: dict[str, tuple[set[str], set[str]]] = {
     **{k: (TABLE_PARTS | {"caption", "colgroup"}, {"table"}) for k in (*sorted(TABLE_PARTS), "caption", "colgroup")},
 }
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
+# A table is aligned while it takes at most this many times the signs of its cells, the characters of a cell's shortest tag added to each.
+MOST_PADDING, LEAST_CELL = 16, 4
 
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>""")
 _LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
@@ -326,10 +329,21 @@ class Grid:
         for c in columns:
             start[c] = at
             at += width.get(c, 0) + (2 if width.get(c, 0) else 0)
-        out: list[str] = []
         rows: dict[int, list[tuple[int, int, int, str, list[str]]]] = {}
         for cell in self.cells:
             rows.setdefault(cell[0], []).append(cell)
+        size = 0
+        for cells in rows.values():
+            ends: dict[int, int] = {}
+            for _, c, across, side, lines in cells:
+                room = width.get(c, 0) if across == 1 and side in ("right", "end", "center") else 0
+                for k, x in enumerate(lines):
+                    ends[k] = max(ends.get(k, 0), start[c] + max(len(x), room))
+            size += sum(ends.values())
+        signs = sum(len(x) - x.count(" ") for *_, lines in self.cells for x in lines)
+        if size > MOST_PADDING * (signs + LEAST_CELL * len(self.cells)):
+            return self.unaligned(rows)
+        out: list[str] = []
         for _, cells in sorted(rows.items()):
             for k in range(max(len(c[4]) for c in cells)):
                 line = ""
@@ -345,6 +359,21 @@ class Grid:
                 out.append(line.rstrip())
         return [x for x in out if x]
 
+    @staticmethod
+    def unaligned(rows: dict[int, list[tuple[int, int, int, str, list[str]]]]) -> list[str]:
+        """Rows of cells two blanks apart; a cell of several lines stands on lines of its own. Nothing is padded and all text is kept."""
+        out: list[str] = []
+        for _, cells in sorted(rows.items()):
+            line = ""
+            for *_, lines in sorted(cells, key=lambda x: x[1]):
+                if len(lines) > 1:
+                    out += [line, *lines]
+                    line = ""
+                elif lines:
+                    line = f"{line}  {lines[0]}" if line else lines[0]
+            out.append(line)
+        return [x for x in out if x.strip()]
+
 
 def shown(node: Node) -> bool:
     name = node.name

@@ -80,6 +80,20 @@ def test_html_keeps_all_visible_words(spark):
         assert words(found[r["page_id"]]) == words(plain.out)
 
 
+@pytest.mark.parametrize("wide, rows", [(40_000, 1000), (20_000, 500), (2000, 3000)])
+def test_html_wide_cells_are_not_padded(wide, rows):
+    """A very wide cell, one of many columns, tables in tables: all words stay, and the text is bounded by the page."""
+    short = "".join(f"<tr><td>a{i}<td align=right>b{i}" for i in range(rows))
+    pages = [
+        f"<table><tr><td>{'w ' * (wide // 2)}<td>x{short}</table>", f"<table><tr>{'<td>cell' * 999}{'<tr><td colspan=999>y<td>z' * rows}</table>",
+        f"<table><tr><td>{'v' * wide}<td><table>{short}</table>{'<tr><td>p<td>q' * rows}</table>"]
+    for html in pages:
+        text = page(html)
+        assert len(text) <= html_text.MOST_PADDING * len(html)
+        assert sorted(text.split()) == sorted(re.sub("<[^>]*>", " ", html).split())
+    assert page("<table><tr><td>name<td>n<tr><td>a<td align=right>1</table>") == "name  n\na     1"
+
+
 def test_html_odd_input(spark):
     deep = "<div>" * 20000 + "x" + "</div>" * 20000
     rows = spark.createDataFrame([(1, None, "u"), (2, "", "u"), (3, deep, "u"), (3, deep, "u"), (None, "<p>a", "u")], "page_id long, html string, text string")
