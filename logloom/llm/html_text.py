@@ -6,7 +6,7 @@ browser does not show; of SVG it shows the text elements, each on lines of its o
 aligned cells. Both walk the tree without recursion, so depth is not limited.
 
 The work is local to a row: no shuffle. A table whose aligned rows would be mostly blanks (``MOST_PADDING``), as one with a single very wide cell, is written
-without padding, so a page's tables render to at most that many times its characters and memory is bounded by a page.
+without padding, so a page's tables render to at most that many times its characters, and a line is indented by ``MOST_INDENT`` at most: memory is bounded by a page.
 
 Defined results: null html gives null, empty html and pages without visible text an empty text. Broken markup never fails: an end tag
 without start is passed over, open elements end with the page, an unfinished tag at the end is dropped. Repeated rows are rendered alike;
@@ -55,6 +55,8 @@ IMPLIED_ENDS: dict[str, tuple[set[str], set[str]]] = {
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
 # A table is aligned while it takes at most this many times the signs of its cells, the characters of a cell's shortest tag added to each.
 MOST_PADDING, LEAST_CELL = 16, 4
+# Blanks before a line; lists nested deeper stay there.
+MOST_INDENT = 64
 
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>""")
 _LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
@@ -273,7 +275,7 @@ class Lines:
             self.lines.append("")
             return
         mark, self.marker = self.marker or "", None
-        self.lines.append(" " * max(0, self.indent - len(mark)) + mark + text)
+        self.lines.append(" " * min(MOST_INDENT, max(0, self.indent - len(mark))) + mark + text)
 
     def gap(self) -> None:
         self.line()

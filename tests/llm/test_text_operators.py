@@ -94,6 +94,12 @@ def test_html_wide_cells_are_not_padded(wide, rows):
     assert page("<table><tr><td>name<td>n<tr><td>a<td align=right>1</table>") == "name  n\na     1"
 
 
+def test_html_deep_lists_grow_with_the_page():
+    lines = page("<ul><li>x" * 5000).split("\n")
+    assert len(lines) == 5000 and max(map(len, lines)) <= html_text.MOST_INDENT + 3
+    assert lines[1].index("x") > lines[0].index("x")
+
+
 def test_html_odd_input(spark):
     deep = "<div>" * 20000 + "x" + "</div>" * 20000
     rows = spark.createDataFrame([(1, None, "u"), (2, "", "u"), (3, deep, "u"), (3, deep, "u"), (None, "<p>a", "u")], "page_id long, html string, text string")
