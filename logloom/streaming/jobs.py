@@ -43,18 +43,28 @@ def ingest_stream(requests: DataFrame) -> DataFrame:
     return with_partitions(ingest.normalize_requests(requests))
 
 
+# Days a task of the ingest writes side by side, each with a buffer of at most so many bytes.
+OPEN_DAYS = 64
+DAY_BUFFER = 8 << 20
+
+
 def start_ingest(requests: DataFrame, out: str, checkpoint: str, once: bool = False):
     """Start the ingest of a raw request stream: log rows and quarantined requests into one table, each source row read and parsed once.
 
     A micro-batch has a folder of its own, named by the checkpoint and the batch, and overwrites it whole: a batch that is run again after a
     failure writes nothing twice. Folders below are the kind and the day of arrival, so no client decides on their number. Read
     the parts by ``stored_entries`` and ``stored_quarantine``.
+
+    A task writes its days side by side, so it holds a buffer a day and never its rows as a whole; past ``OPEN_DAYS`` days in one task
+    the rest is sorted by day, on disk when need be.
     """
     name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def write(batch: DataFrame, number: int) -> None:
         rows = with_arrival_day(ingest.outcomes(batch), F.col("received_at"))
-        rows.write.mode("overwrite").partitionBy("kind", "event_date").parquet(f"{out}/stream={name}/batch={number}")
+        # the session of the stream, a copy of its own
+        batch.sparkSession.conf.set("spark.sql.maxConcurrentOutputFileWriters", OPEN_DAYS)
+        rows.write.mode("overwrite").partitionBy("kind", "event_date").option("parquet.block.size", DAY_BUFFER).parquet(f"{out}/stream={name}/batch={number}")
 
     writer = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -223,6 +223,26 @@ def test_stream_ingest_is_exactly_once(spark, tmp_path):
     assert sorted(jobs.stored_entries(spark, out).drop("event_date").collect()) == sorted(plain.collect())
 
 
+def test_stream_ingest_does_not_sort_its_rows(spark, tmp_path, monkeypatch):
+    """A task writes its days side by side; with more days than it may hold open the same rows are written."""
+    days = [f"2024-01-{d:02d}T00:00:00Z" for d in range(1, 6)]
+    rows = [(f"r{i}", '{"message":"a%d"}' % i if i % 4 else "{", None, "p", None, None, None, days[i % 5]) for i in range(40)]
+    spark.createDataFrame(rows, RAW).coalesce(1).write.parquet(str(tmp_path / "src"))
+    found = []
+    for most in (jobs.OPEN_DAYS, 2):
+        monkeypatch.setattr(jobs, "OPEN_DAYS", most)
+        out = str(tmp_path / f"out{most}")
+        jobs.start_ingest(io.stream_raw(spark, str(tmp_path / "src")), out, str(tmp_path / f"check{most}"), once=True).awaitTermination()
+        found.append((sorted(jobs.stored_entries(spark, out).collect()), sorted(jobs.stored_quarantine(spark, out).collect())))
+        store = spark._jsparkSession.sharedState().statusStore()
+        runs = store.executionsList()
+        plans = [p for p in (runs.apply(i).physicalPlanDescription() for i in range(runs.size())) if f"{out}/stream=" in p]
+        assert plans and not any("Sort" in p for p in plans)
+    assert found[0] == found[1] and len(found[0][0]) == 30 and len(found[0][1]) == 10
+    assert {r["event_date"] for r in found[0][0]} == {d[:10] for d in days}
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
 def test_written_log_keeps_its_partition_types(spark, tables, tmp_path):
     from logloom.operators import fixwork
     as_of = "2024-01-31T00:00:00.000Z"
