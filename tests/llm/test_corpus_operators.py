@@ -239,6 +239,35 @@ def test_language_model_gradients():
         assert math.isclose((up - down) / (2 * step), v[at], rel_tol=1e-3, abs_tol=1e-7), k
 
 
+def test_language_model_training_is_adam():
+    """Windows of a batch lie one after the other; the weights are those of a plain Adam over padded batches."""
+    r = np.random.default_rng(3)
+    counts = r.integers(1, 50, 60)
+    models = [attention_lm.Model(counts, 5, [f"t{i}" for i in range(60)], classes=40) for _ in range(2)]
+    batches = [[np.concatenate([[-1 if i % 2 else 7], r.integers(0, 60, n), [-2] if n < 32 and i % 3 else []]).astype(np.int32) for i, n in enumerate(sizes)]
+               for sizes in ([32, 0, 5, 31], [1, 2], [0], [30] * 5)]
+    flat = [(np.concatenate(b), np.array([len(w) for w in b], np.int32)) for b in batches]
+    m, steps = models[0], 0
+    first = {k: np.zeros(v.shape) for k, v in m.weights.items()}
+    second = {k: np.zeros(v.shape) for k, v in m.weights.items()}
+    for batch in batches:
+        length = max(map(len, batch)) - 1
+        if length < 1:
+            continue
+        classes, real = np.zeros((len(batch), length + 1), np.int64), np.zeros((len(batch), length), bool)
+        for i, ids in enumerate(batch):
+            classes[i, : len(ids)] = [0 if x < 0 else m.class_of[x] for x in ids]
+            real[i, : len(ids) - 1] = True
+        _, g = m.gradients(classes[:, :-1], classes[:, 1:], real)
+        steps += 1
+        for k, v in g.items():
+            first[k], second[k] = 0.9 * first[k] + 0.1 * v, 0.99 * second[k] + 0.01 * v * v
+            rate = attention_lm.LEARNING_RATE * math.sqrt(1 - 0.99 ** steps) / (1 - 0.9 ** steps)
+            m.weights[k] = (m.weights[k] - rate * first[k] / (np.sqrt(second[k]) + 1e-8)).astype(np.float32)
+    assert models[1].train(iter(flat)) == sum(len(b) for b in batches if max(map(len, b)) > 1)
+    assert np.abs(models[1].vector() - m.vector()).mean() < 1e-4
+
+
 def test_language_model_scores_each_token_once():
     """Blocks give what one query at a time gives, and the probabilities of all continuations sum to one."""
     r = np.random.default_rng(1)
