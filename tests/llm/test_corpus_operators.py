@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
@@ -335,6 +336,20 @@ def test_language_model_trains_on_every_window(spark, odd):
     assert seen == counts and ends == odd.count()
 
 
+@pytest.mark.parametrize("sizes", [[0], [0, 0, 1], [31, 32, 33, 0, 64, 65, 5], [1000, 0, 32]])
+def test_language_model_windows(spark, sizes):
+    """The windows of many texts are what slicing one text after the other gives, in that order."""
+    v, n = bpe.load(spark, bpe.word_vocabulary()), attention_lm.CONTEXT
+    texts = [" ".join("abcdefgh"[(i * 7 + k) % 8] for i in range(size)) or None for k, size in enumerate(sizes)]
+    encoder, expect = bpe.Encoder(pickle.loads(v.value)), []
+    for text in texts:
+        ids = encoder.encode_all([text or ""])[0].tolist()
+        framed = [-1, *ids, -2]
+        expect += [framed[a: a + n + 1] for a in range(0, len(ids) + 1, n)]
+    rows = attention_lm.gathered(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), v).collect()
+    assert [r["ids"] for r in rows if r["ids"] is not None] == expect
+
+
 def test_language_model_query(spark):
     rows = catalog.QUERIES["op10_lm_scoring"](spark, "/root/testdata/sf0.01").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0) for r in rows)
