@@ -269,6 +269,61 @@ def test_language_model_training_is_adam():
     assert np.abs(models[1].vector() - m.vector()).mean() < 1e-4
 
 
+def test_language_model_targets_in_parts():
+    """Every target has a slot of its own in a part of its group, also when a batch has none or all are of one group."""
+    r, groups = np.random.default_rng(4), 5
+    target = np.concatenate([r.integers(0, groups * attention_lm.GROUP, 70), np.full(3 * attention_lm.PART, 40), [7]])
+    step = np.concatenate([np.full(70, 0), np.full(3 * attention_lm.PART, 2), [3]])
+    found = list(attention_lm.targets_of(target, np.arange(len(target)), step, 5, groups))
+    assert len(found) == 5 and [len(t.rows) for t in found] == [70, 0, 3 * attention_lm.PART, 1, 0] and [len(t.parts) for t in found][1:] == [0, 3, 1, 0]
+    assert np.concatenate([t.rows for t in found]).tolist() == list(range(len(target)))
+    for t in found:
+        assert len(set(t.slots.tolist())) == len(t.slots) and (t.parts[t.slots // attention_lm.PART] == t.group).all()
+        assert (t.group * attention_lm.GROUP + t.place == target[t.rows]).all()
+
+
+@pytest.mark.parametrize("kind", ["one group", "none real", "far logits"])
+def test_language_model_gradients_of_odd_batches(kind):
+    """One group for all targets, no target at all, and logits whose exponents overflow."""
+    counts = np.random.default_rng(5).integers(1, 50, 300)
+    m = attention_lm.Model(counts, 5, [f"t{i}" for i in range(300)], classes=200)
+    r = np.random.default_rng(6)
+    m.weights = {k: v.astype(np.float64) for k, v in m.weights.items()}
+    seen, target, real = r.integers(0, 202, (5, 9)), r.integers(0, 202, (5, 9)), r.random((5, 9)) < 0.7
+    if kind == "one group":
+        target = target % attention_lm.GROUP
+    elif kind == "none real":
+        real[:] = False
+    else:
+        m.weights["distance"] = m.weights["distance"] + 800.0
+        m.weights["out"][-1] += 800.0
+        m.weights["inner"][:, -1] -= 800.0
+    loss, g = m.gradients(seen, target, real)
+    assert math.isfinite(loss) and (loss > 0) == (kind != "none real")
+    for k, v in g.items():
+        at = np.unravel_index(np.abs(v).argmax(), v.shape)
+        old, step = m.weights[k][at], 1e-4
+        m.weights[k][at] = old + step
+        up = m.gradients(seen, target, real)[0]
+        m.weights[k][at] = old - step
+        down = m.gradients(seen, target, real)[0]
+        m.weights[k][at] = old
+        assert math.isclose((up - down) / (2 * step), v[at], rel_tol=1e-3, abs_tol=1e-7), k
+
+
+def test_language_model_step_does_not_grow_with_groups(monkeypatch):
+    """A training step makes as many products for many groups of classes as for one: groups are multiplied together, not one after the other."""
+    made, plain, products = [], np.matmul, []
+    monkeypatch.setattr(np, "matmul", lambda *a, **k: made.append(1) or plain(*a, **k))
+    for classes in (20, 600):
+        m = attention_lm.Model(np.arange(1, 801), 5, [f"t{i:03}" for i in range(800)], classes=classes)
+        ids = np.random.default_rng(7).integers(0, 800, 16 * 33).astype(np.int32)
+        made.clear()
+        m.train(iter([(ids, np.full(16, 33))]))
+        products.append(len(made))
+    assert products[0] == products[1]
+
+
 def test_language_model_scores_each_token_once():
     """Blocks give what one query at a time gives, and the probabilities of all continuations sum to one."""
     r = np.random.default_rng(1)
