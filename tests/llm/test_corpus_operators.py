@@ -405,6 +405,36 @@ def test_language_model_windows(spark, sizes):
     assert [r["ids"] for r in rows if r["ids"] is not None] == expect
 
 
+def test_language_model_trains_on_a_condition(spark, odd, none):
+    """A condition trains on what a table of the rows that meet it trains on, with its windows in that order; rows of which it is null don't train."""
+    v = bpe.load(spark, bpe.word_vocabulary())
+    condition = F.when(F.length("text") > 3, F.length("text") % 3 != 0)
+    plain, shared = (attention_lm.score_documents(odd, t, v, rounds=2).collect() for t in (odd.filter(condition), condition))
+    key = lambda r: (str(r["doc_id"]), round(r["base_score"], 6), r["score"])
+    assert len(plain) == len(shared) == odd.count() and plain[0]["train_tokens"] > 0
+    for a, b in zip(sorted(plain, key=key), sorted(shared, key=key), strict=True):
+        assert a[:-2] == b[:-2] and math.isclose(a["base_score"], b["base_score"], rel_tol=1e-9) and math.isclose(a["score"], b["score"], rel_tol=1e-5)
+    windows = [r["ids"] for r in attention_lm.gathered(odd, v).collect() if r["ids"] is not None]
+    numbers, own = attention_lm.gathered_ids(odd.select(bpe.encoded("text", v).alias("ids")))
+    assert [r["ids"] for r in own.collect()] == windows
+    counts = Counter()
+    for r in numbers.collect():
+        counts[r["id"]] += r["n"]
+    assert counts == Counter(i for w in windows for i in w[1:] if i >= 0)
+    assert attention_lm.score_documents(none, condition, v, rounds=1).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [[], [0], [0, 0, 5], [3, 4, 9, 1, 0], [20, 1]])
+def test_language_model_lists(sizes):
+    """Lists are taken up whole and in order, also from the middle of an array."""
+    import pyarrow as pa
+
+    column = pa.array([[7]] + [[i] * n for i, n in enumerate(sizes)], pa.list_(pa.int32()))[1:]
+    pieces = list(attention_lm.lists(column, most=8))
+    assert [n for _, c in pieces for n in c.tolist()] == sizes and all(len(c) == 1 or c.sum() <= 8 for _, c in pieces)
+    assert [i for ids, _ in pieces for i in ids.tolist()] == [i for k, n in enumerate(sizes) for i in [k] * n]
+
+
 def test_language_model_query(spark):
     rows = catalog.QUERIES["op10_lm_scoring"](spark, "/root/testdata/sf0.01").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0) for r in rows)
